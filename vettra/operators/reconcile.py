@@ -118,20 +118,23 @@ def change_sets(updates: DataFrame) -> DataFrame:
 
 
 def affected_clients(screening: DataFrame, updates: DataFrame) -> DataFrame:
-    """(provider_id, new_list_version, client_id, old_version): clients last screened with an older version.
+    """(client_id, provider_id, list_type, old_version, new_list_version): clients last screened with an older version.
 
-    A client belongs to the lowest new version above its own, so that it is screened once however many versions are
-    waiting: the list it meets already holds them all.
+    A client belongs to the first change set that outdates it. Screening it then meets the current lists of all
+    providers, so the later change sets find it up to date: each client is screened once.
     """
     used = latest_screening(screening.select("client_id", "screened_at", "screening_id", "list_versions")).select(
         "client_id", F.explode("list_versions").alias("provider_id", "old_version")
     )
     newer = version_key(F.col("old_version")) < version_key(F.col("new_list_version"))
-    pairs = used.join(change_sets(updates).select("provider_id", "list_type", "new_list_version"), "provider_id")
+    first = F.min_by(F.struct("provider_id", "list_type", "old_version", "new_list_version"), "seq").alias("first")
+    # One row per provider and version: small whatever the number of clients.
     return (
-        pairs.where(newer)
-        .groupBy("provider_id", "list_type", "client_id", "old_version")
-        .agg(F.min_by("new_list_version", version_key(F.col("new_list_version"))).alias("new_list_version"))
+        used.join(change_sets(updates), "provider_id")
+        .where(newer)
+        .groupBy("client_id")
+        .agg(first)
+        .select("client_id", "first.*")
     )
 
 
@@ -188,8 +191,7 @@ def reconcile(
 ) -> Reconciled:
     """Apply the updates and screen the affected clients again through the same steps, with their original trace.
 
-    ``updates`` carries ``seq``, its order of arrival. A client affected through several providers is screened once
-    per run, as each provider's update asks for it; the runs share one scoring pass because they meet the same lists.
+    ``updates`` carries ``seq``, its order of arrival. All of them are set-based: no loop over updates or clients.
     """
     now = F.current_timestamp() if clock is None else clock
     updates, _ = known_changes(updates)
