@@ -24,21 +24,35 @@ def last_of(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(last).select(*keys, "_row.*").select(*rows.columns)
 
 
+def seen(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of ``rows`` that are stored already.
+
+    The stored history is filtered by the batch's keys, so where the batch is small enough to broadcast the history is
+    scanned but never shuffled.
+    """
+    return stored.select(*keys).join(rows.select(*keys).distinct(), keys, "left_semi")
+
+
 def unprocessed(messages: DataFrame, idempotency: DataFrame, *order: str) -> DataFrame:
     """Messages whose key was not processed before, each once."""
-    once = first_of(messages, ["message_key"], *order) if order else messages.dropDuplicates(["message_key"])
-    return once.join(idempotency.select(F.col("key").alias("message_key")), "message_key", "left_anti")
+    keys = ["message_key"]
+    once = first_of(messages, keys, *order) if order else messages.dropDuplicates(keys)
+    processed = idempotency.select(F.col("key").alias("message_key"))
+    return once.join(seen(once, processed, keys), keys, "left_anti")
 
 
 def new_profiles(normalized: DataFrame, stored: DataFrame, *order: str) -> DataFrame:
     """One normalized row per (client_id, profile_hash): the first to arrive, unless one is stored."""
     keys = ["client_id", "profile_hash"]
-    return first_of(normalized, keys, *order).join(stored.select(*keys), keys, "left_anti")
+    first = first_of(normalized, keys, *order)
+    return first.join(seen(first, stored, keys), keys, "left_anti")
 
 
-def new_decisions(decisions: DataFrame, stored: DataFrame, *order: str) -> DataFrame:
-    """One decision per screening, whatever the number of messages."""
-    return first_of(decisions, ["screening_id"], *order).join(stored.select("screening_id"), "screening_id", "left_anti")
+def new_for_screening(rows: DataFrame, stored: DataFrame, *order: str) -> DataFrame:
+    """One row per screening, whatever the number of messages, and none where one is stored."""
+    keys = ["screening_id"]
+    first = first_of(rows, keys, *order) if order else rows.dropDuplicates(keys)
+    return first.join(seen(first, stored, keys), keys, "left_anti")
 
 
 def _in(column: str, allowed: list[str]) -> Column:

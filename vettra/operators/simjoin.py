@@ -29,7 +29,7 @@ HOT_DATE = 256
 # Similarity to reach before the birth date is looked at, times 10,000; scores are rounded to four digits.
 UNKNOWN_BASE = round(MATCH_THRESHOLD * 10_000) - 1
 SAME_BASE = round((MATCH_THRESHOLD - SAME_DOB_BOOST) * 10_000) - 1
-DATE, HOT, OPEN, BLANK = 0, 1, 2, 3
+OPEN, BLANK = 0, 1
 
 
 def _needed(per_10000: Column, total: Column) -> Column:
@@ -85,19 +85,30 @@ def signature_keys(name: Column, per_10000: Column, own_is_profile: bool, *scope
     return F.when(F.length(name) > 0, bind(facts, for_lengths)).otherwise(none)
 
 
-def scored(pairs: DataFrame, same: Column) -> DataFrame:
-    """Score (canonical_name, list name) pairs; ``same`` tells equal birth dates from missing ones.
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over all shuffle partitions.
 
-    Pairs that cannot reach the threshold go first: the letter-bag bound needs no subsequence work and holds for the
-    plain and the token-sorted form alike, which have the same letters.
+    Distinct names are few bytes and much work: left to size-based coalescing they would end up in a handful of tasks.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def reachable(pairs: DataFrame, same: Column, bag: Column, other_bag: Column) -> DataFrame:
+    """Drop (canonical_name, entry_cname) pairs that cannot reach the threshold; ``same`` tells equal birth dates.
+
+    The letter bound needs no subsequence work and holds for the plain and the token-sorted form alike, which have the
+    same letters.
     """
     name, other = F.col("canonical_name"), F.col("entry_cname")
     total = F.length(name) + F.length(other)
-    shorter = F.least(F.length(name), F.length(other))
     needed = _needed(F.when(same, SAME_BASE).otherwise(UNKNOWN_BASE), total)
-    kept = pairs.where((total > 0) & (shorter >= needed)).where(
-        F.size(F.array_intersect(similarity.letter_bag(name), F.col("entry_bag"))) >= needed
-    )
+    long_enough = (total > 0) & (F.least(F.length(name), F.length(other)) >= needed)
+    return pairs.where(long_enough).where(F.size(F.array_intersect(bag, other_bag)) >= needed)
+
+
+def scored(pairs: DataFrame, names: DataFrame, same: Column) -> DataFrame:
+    """Score distinct (canonical_name, entry_id, pos) pairs and keep those at or over the threshold."""
+    name, other = F.col("canonical_name"), F.col("entry_cname")
     ordered = token_sorted(name)
     plain = similarity.lcs_length(other, name, F.col("plain_masks"), similarity.letter_codes(name))
     swapped = similarity.lcs_length(
@@ -106,7 +117,9 @@ def scored(pairs: DataFrame, same: Column) -> DataFrame:
     base = similarity.ratio_of(F.greatest(plain, swapped), name, other)
     relation = F.when(same, "same").otherwise("unknown")
     return (
-        kept.withColumn("score", similarity.with_dob(base, relation))
+        pairs.drop("entry_cname")
+        .join(names, ["entry_id", "pos"])
+        .withColumn("score", similarity.with_dob(base, relation))
         .withColumn("dob_match", same)
         .where(F.col("score") >= MATCH_THRESHOLD)
     )
@@ -131,55 +144,62 @@ def best_names(pairs: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def pair_keys(rows: DataFrame, name: str, dob: str, is_profile: bool) -> DataFrame:
-    """Explode ``rows`` (with a ``scope``) into join keys: the date itself, or hashed letter combinations."""
-    same = F.col("scope").isin(DATE, HOT)
-    combos = signature_keys(
-        F.col(name), F.when(same, SAME_BASE).otherwise(UNKNOWN_BASE), is_profile, F.col("scope"), F.when(same, F.col(dob))
+def _met(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
+    """Distinct pairs of keyed rows that may reach the threshold."""
+    # Two keys may share a hash, so what went into them is compared again.
+    agrees = F.col("dob_iso") == F.col("entry_dob") if same else F.col("scope") == F.col("entry_scope")
+    pairs = left.join(right, "key").where(agrees)
+    profile_columns = [c for c in left.columns if c != "key"]
+    bags = similarity.letter_bag(F.col("canonical_name")), similarity.letter_bag(F.col("entry_cname"))
+    # Similar names share many combinations: one row per pair from here on.
+    return (
+        reachable(pairs, F.lit(same), *bags)
+        .select(*profile_columns, "entry_id", "pos", "entry_cname")
+        .distinct()
     )
-    keys = F.when(F.col("scope") == DATE, F.array(F.xxhash64(F.col(dob)))).otherwise(F.array_distinct(combos))
-    return rows.withColumn("key", F.explode(keys))
 
 
-def candidate_pairs(profiles: DataFrame, names: DataFrame, hot_date: int = HOT_DATE) -> DataFrame:
-    """Every (canonical_name, dob_iso or null, list name) that may reach the threshold; a pair may come more than once.
-
-    Scopes: DATE and HOT pair equal birth dates, one row per distinct (name, date). OPEN pairs any name with undated
-    entries and BLANK the names of undated profiles with dated entries, one row per distinct name.
-    """
+def same_date_pairs(people: DataFrame, names: DataFrame, hot_date: int = HOT_DATE) -> DataFrame:
+    """Pairs with equal birth dates, per distinct (canonical_name, dob_iso)."""
+    dated = names.where("entry_dob is not null")
     # At most (list names / hot_date) dates: the split is decided on the list side only.
     hot = (
-        names.where("entry_dob is not null")
-        .groupBy("entry_dob")
+        dated.groupBy("entry_dob")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > hot_date)
         .select(F.col("entry_dob").alias("hot_dob"))
     )
-    by_date = F.when(F.col("hot_dob").isNull(), DATE).otherwise(HOT)
-    people = profiles.select("canonical_name", "dob_iso").distinct()
-    dated = people.where("dob_iso is not null").join(hot, F.col("dob_iso") == F.col("hot_dob"), "left")
-    blank = F.max(F.col("dob_iso").isNull())
-    named = people.groupBy("canonical_name").agg(blank.alias("blank"))
-    left = dated.select("canonical_name", "dob_iso", by_date.alias("scope")).unionByName(
-        named.select(
-            "canonical_name",
-            F.lit(None).cast("date").alias("dob_iso"),
-            F.explode(F.when(F.col("blank"), F.array(F.lit(OPEN), F.lit(BLANK))).otherwise(F.array(F.lit(OPEN)))).alias(
-                "scope"
-            ),
-        )
-    )
-    right = names.join(hot, F.col("entry_dob") == F.col("hot_dob"), "left").withColumn(
-        "scope",
-        F.explode(F.when(F.col("entry_dob").isNull(), F.array(F.lit(OPEN))).otherwise(F.array(by_date, F.lit(BLANK)))),
-    )
-    met = pair_keys(left, "canonical_name", "dob_iso", True).alias("l").join(
-        pair_keys(right.drop("hot_dob"), "entry_cname", "entry_dob", False).alias("r"),
-        (F.col("l.key") == F.col("r.key")) & (F.col("l.scope") == F.col("r.scope")),
-    )
-    return met.where(F.col("dob_iso").isNull() | (F.col("dob_iso") == F.col("entry_dob"))).select(
-        "l.canonical_name", "l.dob_iso", "l.scope", *[f"r.{c}" for c in names.columns]
-    )
+
+    def keyed(rows: DataFrame, name: str, dob: str, is_profile: bool) -> DataFrame:
+        combos = F.array_distinct(signature_keys(F.col(name), F.lit(SAME_BASE), is_profile, F.col(dob)))
+        keys = F.when(F.col("hot_dob").isNull(), F.array(F.xxhash64(F.col(dob)))).otherwise(combos)
+        flagged = rows.join(hot, F.col(dob) == F.col("hot_dob"), "left")
+        return flagged.withColumn("key", F.explode(keys)).drop("hot_dob")
+
+    left = keyed(people.where("dob_iso is not null"), "canonical_name", "dob_iso", True)
+    slim = spread(dated.select("entry_id", "pos", "entry_cname", "entry_dob"))
+    return _met(left, keyed(slim, "entry_cname", "entry_dob", False), True)
+
+
+def undated_pairs(people: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs to compare on the name alone, per distinct canonical_name and scope.
+
+    OPEN pairs every name with undated entries, BLANK the names of undated profiles with dated entries.
+    """
+    named = people.groupBy("canonical_name").agg(F.max(F.col("dob_iso").isNull()).alias("blank"))
+    both, only_open = F.array(F.lit(OPEN), F.lit(BLANK)), F.array(F.lit(OPEN))
+    asked = named.select("canonical_name", F.explode(F.when(F.col("blank"), both).otherwise(only_open)).alias("scope"))
+    # Only what finds and bounds a pair travels with the keys; the letter masks join the survivors.
+    scope = F.when(F.col("entry_dob").isNull(), OPEN).otherwise(BLANK).alias("entry_scope")
+    listed = spread(names.select("entry_id", "pos", "entry_cname", scope))
+
+    def keyed(rows: DataFrame, name: str, scope: str, is_profile: bool) -> DataFrame:
+        keys = signature_keys(F.col(name), F.lit(UNKNOWN_BASE), is_profile, F.col(scope))
+        return rows.withColumn("key", F.explode(F.array_distinct(keys)))
+
+    left = keyed(asked, "canonical_name", "scope", True)
+    right = keyed(listed, "entry_cname", "entry_scope", False)
+    return _met(left, right, False)
 
 
 def all_matches(profiles: DataFrame, names: DataFrame, hot_date: int = HOT_DATE) -> DataFrame:
@@ -187,11 +207,14 @@ def all_matches(profiles: DataFrame, names: DataFrame, hot_date: int = HOT_DATE)
 
     ``profiles`` needs canonical_name and dob_iso; all its columns are kept.
     """
-    pairs = candidate_pairs(profiles, names, hot_date)
-    found = best_names(scored(pairs, F.col("dob_iso").isNotNull()), "canonical_name", "dob_iso", "scope")
-    found = found.where(F.arrays_overlap(canonical_letters(F.col("canonical_name")), F.col("entry_letters")))
-    on_date = found.where("dob_iso is not null").drop("scope", "entry_letters")
-    on_name = found.where("dob_iso is null").drop("dob_iso", "entry_letters")
+    people = spread(profiles.select("canonical_name", "dob_iso").distinct(), "canonical_name")
+    shares_letter = F.arrays_overlap(canonical_letters(F.col("canonical_name")), F.col("entry_letters"))
+
+    def found(pairs: DataFrame, same: bool, *keys: str) -> DataFrame:
+        return best_names(scored(pairs, names, F.lit(same)), *keys).where(shares_letter).drop("entry_letters")
+
+    on_date = found(same_date_pairs(people, names, hot_date), True, "canonical_name", "dob_iso")
+    on_name = found(undated_pairs(people, names), False, "canonical_name", "scope")
     scopes = F.when(F.col("dob_iso").isNull(), F.array(F.lit(OPEN), F.lit(BLANK))).otherwise(F.array(F.lit(OPEN)))
     columns = [*profiles.columns, "entry_id", "matched_name", "score", "dob_match"]
     asked = profiles.withColumn("scope", F.explode(scopes))
@@ -208,10 +231,11 @@ def page_matches(profiles: DataFrame, names: DataFrame, pages: DataFrame) -> Dat
     ``pages`` holds (letters, entry_id, entry_dob). Equal dates join on letters and date together, so a profile meets
     the few dated entries of its page that can match, plus the undated ones.
     """
-    people = profiles.select("canonical_name", "dob_iso", "letters").distinct()
+    people = spread(profiles.select("canonical_name", "dob_iso", "letters").distinct(), "canonical_name")
+    people = people.withColumn("bag", similarity.letter_bag(F.col("canonical_name")))
     listed = pages.select("letters", "entry_id", F.col("entry_dob").cast("date").alias("page_dob"))
     dated, undated = listed.where("page_dob is not null"), listed.where("page_dob is null").drop("page_dob")
-    columns = ["canonical_name", "dob_iso", "entry_id"]
+    columns = ["canonical_name", "dob_iso", "bag", "entry_id"]
     same = (
         people.where("dob_iso is not null")
         .join(dated.withColumnRenamed("page_dob", "dob_iso"), ["letters", "dob_iso"])
@@ -219,9 +243,11 @@ def page_matches(profiles: DataFrame, names: DataFrame, pages: DataFrame) -> Dat
     )
     no_entry_dob = people.join(undated, "letters").select(columns)
     no_own_dob = people.where("dob_iso is null").join(dated.drop("page_dob"), "letters").select(columns)
-    pairs = same.unionByName(no_entry_dob).unionByName(no_own_dob).join(names, "entry_id")
+    slim = names.select("entry_id", "pos", "entry_cname", "entry_dob", "entry_bag")
+    pairs = same.unionByName(no_entry_dob).unionByName(no_own_dob).join(slim, "entry_id")
     equal = F.coalesce(F.col("dob_iso") == F.col("entry_dob"), F.lit(False))
-    found = best_names(scored(pairs, equal), "canonical_name", "dob_iso").drop("entry_letters")
+    kept = reachable(pairs, equal, F.col("bag"), F.col("entry_bag")).drop("bag", "entry_bag", "entry_dob")
+    found = best_names(scored(kept, names, equal), "canonical_name", "dob_iso").drop("entry_letters")
     rows = profiles.alias("p").join(
         found.alias("f"),
         (F.col("p.canonical_name") == F.col("f.canonical_name")) & F.col("p.dob_iso").eqNullSafe(F.col("f.dob_iso")),

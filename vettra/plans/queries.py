@@ -553,7 +553,7 @@ def first_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_decision_per_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders stand for decision messages about their customer's screening."""
     rows = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("screening_id"), "o_orderkey")
-    return dedup.new_decisions(rows, rows.where(F.lit(False)), "o_orderkey").select("screening_id", "o_orderkey")
+    return dedup.new_for_screening(rows, rows.where(F.lit(False)), "o_orderkey").select("screening_id", "o_orderkey")
 
 
 @query(

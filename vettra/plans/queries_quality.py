@@ -423,25 +423,28 @@ def _names_list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
+_ANCHORS = ", ".join(
+    "(" + ", ".join("NULL" if v is None else f"'{','.join(v) if isinstance(v, list) else v}'" for v in a) + ")" for a in synth.ANCHORS
+)
 _SYNTH = f"""
-WITH r AS (SELECT {LIST_TYPE.format(j='p_partkey')} AS lt, p_partkey // 3 + 1 AS seq FROM part),
+WITH anchor AS (SELECT * FROM (VALUES {_ANCHORS}) t(a_lt, a_seq, a_name, a_aliases, a_dob, a_country, a_program, a_tier, a_conf)),
+r AS (SELECT {LIST_TYPE.format(j='p_partkey')} AS lt, p_partkey // 3 + 1 AS seq FROM part),
 d AS (SELECT *, {_names_list(synth.FIRST_NAMES)}[{_drawn(40, 'first')} + 1] AS first,
              {_names_list(synth.LAST_NAMES)}[{_drawn(40, 'last')} + 1] AS last,
              {_names_list(synth.FIRST_NAMES)}[{_drawn(40, 'kin_name')} + 1] AS kin,
-             CASE lt WHEN 'sanctions' THEN 3 WHEN 'pep' THEN 2 ELSE 1 END AS anchors FROM r)
-SELECT 'wl_' || lt || '_' || printf('%04d', seq) AS entry_id, first || ' ' || last AS entity_name,
-       array_to_string(list_distinct_kept, ',') AS aliases,
-       CASE WHEN lt = 'sanctions' AND {_drawn(100, 'no_dob')} < 20 THEN NULL ELSE (1945 + {_drawn(51, 'year')}) || '-' ||
+             a.* FROM r LEFT JOIN anchor a ON r.lt = a.a_lt AND r.seq = a.a_seq::BIGINT)
+SELECT 'wl_' || lt || '_' || printf('%04d', seq) AS entry_id, coalesce(a_name, first || ' ' || last) AS entity_name,
+       CASE WHEN a_name IS NOT NULL THEN a_aliases ELSE array_to_string(list_distinct_kept, ',') END AS aliases,
+       CASE WHEN a_name IS NOT NULL THEN a_dob WHEN lt = 'sanctions' AND {_drawn(100, 'no_dob')} < 20 THEN NULL ELSE (1945 + {_drawn(51, 'year')}) || '-' ||
          lpad((1 + {_drawn(12, 'month')})::VARCHAR, 2, '0') || '-' || lpad((1 + {_drawn(28, 'day')})::VARCHAR, 2, '0') END AS dob_iso,
-       CASE WHEN lt = 'pep' THEN 1 + {_drawn(4, 'tier')} END::INTEGER AS pep_tier,
-       CASE WHEN lt = 'adverse_media' THEN (30 + {_drawn(70, 'confidence')}) / 100.0::DOUBLE END AS media_confidence,
+       CASE WHEN lt = 'pep' THEN coalesce(a_tier::BIGINT, 1 + {_drawn(4, 'tier')}) END::INTEGER AS pep_tier,
+       CASE WHEN lt = 'adverse_media' THEN coalesce(a_conf::DOUBLE, (30 + {_drawn(70, 'confidence')}) / 100.0::DOUBLE) END AS media_confidence,
        CASE WHEN lt = 'adverse_media' THEN 1 + {_drawn(3, 'articles')} ELSE 0 END::INTEGER AS articles
 FROM (SELECT *, list_filter([s1, CASE WHEN s2 IS DISTINCT FROM s1 THEN s2 END,
                              CASE WHEN s3 IS DISTINCT FROM s1 AND s3 IS DISTINCT FROM s2 THEN s3 END], lambda a: a IS NOT NULL) AS list_distinct_kept
       FROM (SELECT *, CASE WHEN {_drawn(100, 'swap')} < 50 THEN last || ' ' || first END AS s1,
                    CASE WHEN last LIKE '%v' AND {_drawn(100, 'spell')} < 40 THEN first || ' ' || left(last, length(last) - 1) || 'ff' END AS s2,
-                   CASE WHEN {_drawn(100, 'kin')} < 30 THEN kin || ' ' || last END AS s3 FROM d))
-WHERE seq > anchors"""
+                   CASE WHEN {_drawn(100, 'kin')} < 30 THEN kin || ' ' || last END AS s3 FROM d))"""
 
 
 def _part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,10 +458,8 @@ def _part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SYNTH)
 def synthetic_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One generated entry per part, apart from the six fixed anchors."""
-    drawn = synth.watchlist(_part_rows(spark, sf_dir))
-    anchored = F.when(F.col("list_type") == "sanctions", 3).when(F.col("list_type") == "pep", 2).otherwise(1)
-    return drawn.where(F.col("seq") > anchored).select(
+    """One generated entry per part, the six fixed anchors first."""
+    return synth.watchlist(_part_rows(spark, sf_dir)).select(
         "entry_id", "entity_name", joined("aliases").alias("aliases"), "dob_iso", "risk_payload.pep_tier",
         "risk_payload.media_confidence", F.coalesce(F.size("risk_payload.articles"), F.lit(0)).alias("articles"),
     )
@@ -501,15 +502,14 @@ def synthetic_profile_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------------ sources and streams
 _FINGERPRINT = (
-    "SELECT 'customer' AS dataset, count(*)::BIGINT AS rows, sum(('0x' || substr(md5(c_acct || '|' || c_custkey || '|' || c_mktsegment "
-    "|| '|' || c_name || '|' || c_nationkey), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM (SELECT *, '' AS c_acct FROM customer)"
+    "SELECT 'customer' AS dataset, count(*)::BIGINT AS rows, sum(('0x' || substr(md5(c_acctbal || '|' || c_custkey || '|' || "
+    "c_mktsegment || '|' || c_name || '|' || c_nationkey), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM customer"
 )
 
 
 @query(_FINGERPRINT)
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.table(spark, sf_dir, "customer").withColumn("c_acctbal", F.lit(""))
-    return files.fingerprint(rows).select(F.lit("customer").alias("dataset"), "rows", "digest")
+    return files.fingerprint(fx.table(spark, sf_dir, "customer")).select(F.lit("customer").alias("dataset"), "rows", "digest")
 
 
 def submission_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
