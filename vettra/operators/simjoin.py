@@ -50,15 +50,15 @@ def _combinations(bag: Column, size: int, head: list[Column]) -> Column:
     )
 
 
-def signature_keys(name: Column, per_10000: Column, own_is_profile: bool, *scope: Column) -> Column:
+def signature_keys(bag: Column, per_10000: Column, own_is_profile: bool, *scope: Column) -> Column:
     """Hashed combinations for every length the partner may have. Both sides build them from the same two lengths.
 
     ``per_10000`` is the similarity to reach, times 10,000; keys of different ``scope`` values never meet.
     """
     none = F.array().cast("array<bigint>")
     facts = F.struct(
-        F.length(name).alias("own"),
-        similarity.letter_bag(name).alias("bag"),
+        F.size(bag).alias("own"),
+        bag.alias("bag"),
         per_10000.alias("t"),
         F.xxhash64(*scope).alias("scope"),
     )
@@ -82,7 +82,7 @@ def signature_keys(name: Column, per_10000: Column, own_is_profile: bool, *scope
 
         return F.flatten(F.transform(F.sequence(shortest, longest), for_length))
 
-    return F.when(F.length(name) > 0, bind(facts, for_lengths)).otherwise(none)
+    return F.when(F.size(bag) > 0, bind(facts, for_lengths)).otherwise(none)
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
@@ -144,23 +144,28 @@ def best_names(pairs: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def distinct_people(profiles: DataFrame) -> DataFrame:
+    """Distinct (canonical_name, dob_iso) with the name's letter bag, spread by name."""
+    people = spread(profiles.select("canonical_name", "dob_iso").distinct(), "canonical_name")
+    return people.withColumn("bag", similarity.letter_bag(F.col("canonical_name")))
+
+
 def _met(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
     """Distinct pairs of keyed rows that may reach the threshold."""
     # Two keys may share a hash, so what went into them is compared again.
     agrees = F.col("dob_iso") == F.col("entry_dob") if same else F.col("scope") == F.col("entry_scope")
     pairs = left.join(right, "key").where(agrees)
-    profile_columns = [c for c in left.columns if c != "key"]
-    bags = similarity.letter_bag(F.col("canonical_name")), similarity.letter_bag(F.col("entry_cname"))
+    profile_columns = [c for c in left.columns if c not in ("key", "bag")]
     # Similar names share many combinations: one row per pair from here on.
     return (
-        reachable(pairs, F.lit(same), *bags)
+        reachable(pairs, F.lit(same), F.col("bag"), F.col("entry_bag"))
         .select(*profile_columns, "entry_id", "pos", "entry_cname")
         .distinct()
     )
 
 
 def same_date_pairs(people: DataFrame, names: DataFrame, hot_date: int = HOT_DATE) -> DataFrame:
-    """Pairs with equal birth dates, per distinct (canonical_name, dob_iso)."""
+    """Pairs with equal birth dates, per distinct (canonical_name, dob_iso) of :func:`distinct_people`."""
     dated = names.where("entry_dob is not null")
     # At most (list names / hot_date) dates: the split is decided on the list side only.
     hot = (
@@ -170,15 +175,16 @@ def same_date_pairs(people: DataFrame, names: DataFrame, hot_date: int = HOT_DAT
         .select(F.col("entry_dob").alias("hot_dob"))
     )
 
-    def keyed(rows: DataFrame, name: str, dob: str, is_profile: bool) -> DataFrame:
-        combos = F.array_distinct(signature_keys(F.col(name), F.lit(SAME_BASE), is_profile, F.col(dob)))
+    def keyed(rows: DataFrame, bag: str, dob: str, is_profile: bool) -> DataFrame:
+        combos = F.array_distinct(signature_keys(F.col(bag), F.lit(SAME_BASE), is_profile, F.col(dob)))
         keys = F.when(F.col("hot_dob").isNull(), F.array(F.xxhash64(F.col(dob)))).otherwise(combos)
         flagged = rows.join(hot, F.col(dob) == F.col("hot_dob"), "left")
         return flagged.withColumn("key", F.explode(keys)).drop("hot_dob")
 
-    left = keyed(people.where("dob_iso is not null"), "canonical_name", "dob_iso", True)
-    slim = spread(dated.select("entry_id", "pos", "entry_cname", "entry_dob"))
-    return _met(left, keyed(slim, "entry_cname", "entry_dob", False), True)
+    # Only what finds and bounds a pair travels with the keys; the letter masks join the survivors.
+    left = keyed(people.where("dob_iso is not null"), "bag", "dob_iso", True)
+    slim = spread(dated.select("entry_id", "pos", "entry_cname", "entry_dob", "entry_bag"))
+    return _met(left, keyed(slim, "entry_bag", "entry_dob", False), True)
 
 
 def undated_pairs(people: DataFrame, names: DataFrame) -> DataFrame:
@@ -186,19 +192,20 @@ def undated_pairs(people: DataFrame, names: DataFrame) -> DataFrame:
 
     OPEN pairs every name with undated entries, BLANK the names of undated profiles with dated entries.
     """
-    named = people.groupBy("canonical_name").agg(F.max(F.col("dob_iso").isNull()).alias("blank"))
+    named = people.groupBy("canonical_name").agg(
+        F.max(F.col("dob_iso").isNull()).alias("blank"), F.first("bag").alias("bag")
+    )
     both, only_open = F.array(F.lit(OPEN), F.lit(BLANK)), F.array(F.lit(OPEN))
-    asked = named.select("canonical_name", F.explode(F.when(F.col("blank"), both).otherwise(only_open)).alias("scope"))
-    # Only what finds and bounds a pair travels with the keys; the letter masks join the survivors.
+    asked = named.select("canonical_name", "bag", F.explode(F.when(F.col("blank"), both).otherwise(only_open)).alias("scope"))
     scope = F.when(F.col("entry_dob").isNull(), OPEN).otherwise(BLANK).alias("entry_scope")
-    listed = spread(names.select("entry_id", "pos", "entry_cname", scope))
+    listed = spread(names.select("entry_id", "pos", "entry_cname", "entry_bag", scope))
 
-    def keyed(rows: DataFrame, name: str, scope: str, is_profile: bool) -> DataFrame:
-        keys = signature_keys(F.col(name), F.lit(UNKNOWN_BASE), is_profile, F.col(scope))
+    def keyed(rows: DataFrame, bag: str, scope: str, is_profile: bool) -> DataFrame:
+        keys = signature_keys(F.col(bag), F.lit(UNKNOWN_BASE), is_profile, F.col(scope))
         return rows.withColumn("key", F.explode(F.array_distinct(keys)))
 
-    left = keyed(asked, "canonical_name", "scope", True)
-    right = keyed(listed, "entry_cname", "entry_scope", False)
+    left = keyed(asked, "bag", "scope", True)
+    right = keyed(listed, "entry_bag", "entry_scope", False)
     return _met(left, right, False)
 
 
@@ -207,7 +214,7 @@ def all_matches(profiles: DataFrame, names: DataFrame, hot_date: int = HOT_DATE)
 
     ``profiles`` needs canonical_name and dob_iso; all its columns are kept.
     """
-    people = spread(profiles.select("canonical_name", "dob_iso").distinct(), "canonical_name")
+    people = distinct_people(profiles)
     shares_letter = F.arrays_overlap(canonical_letters(F.col("canonical_name")), F.col("entry_letters"))
 
     def found(pairs: DataFrame, same: bool, *keys: str) -> DataFrame:
