@@ -35,9 +35,11 @@ def local_session(app: str = "vettra", cpus: str | int = "*", shuffle_partitions
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a fresh local one."""
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset and all runs on one machine, a fresh local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.vettra.folder", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-vettra-", dir="/tmp")
         spark.conf.set("spark.vettra.folder", folder)
     return folder
