@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vettra.llm import bpe_automaton, common, token_counts, token_orc
+from vettra.llm import bpe_automaton, common, decontaminate, pii, quality_rules, token_counts, token_orc, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +54,58 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Not in SQL (encoded lengths); held against the tokenizers library in the tests."""
     docs = table(spark, sf_dir, "documents")
     return token_counts.limits(token_counts.histogram(token_counts.lengths(docs, tokenizer())))
+
+
+@query()
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures are in ``FIGURES_SQL`` and tested there; line hashes and windows over whole tables are too slow in SQL."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    names = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    return judged.select(*names, "n_removed", "n_common_lines")
+
+
+@query()
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over whole tables are too slow in SQL; held against brute force in the tests."""
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    items = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return decontaminate.matched(docs, benchmark).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query()
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans by position need loops that SQL lacks; held against brute force in the tests."""
+    base = [k.name for k in pii.KINDS if k.base]
+    every = [k.name for k in pii.KINDS]
+    return pii.find(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[F.size(k).cast("bigint").alias(f"n_{k}") for k in base],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(every).alias("spans"),
+    )
+
+
+@query(
+    "WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages), "
+    "g AS (SELECT body, max(page_id) AS largest FROM p GROUP BY body) "
+    "SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, "
+    "list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + "
+    "list_reduce(list_transform(range(5), lambda j: instr('01', bits[1 + 5 * i + j]) - 1), lambda a, b: 2 * a + b), 1)), "
+    "'string_agg', '') AS payload_digest, "
+    "CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, "
+    "CASE WHEN page_id <> largest THEN largest END AS refers_to "
+    "FROM (SELECT page_id, body, largest, list_aggregate(list_transform(range(40), lambda k: "
+    "bit_of[1 + instr('0123456789abcdef', sha1(body)[1 + k]) - 1]), 'string_agg', '') AS bits "
+    "FROM p JOIN g USING (body), (SELECT ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', "
+    "'1010', '1011', '1100', '1101', '1110', '1111'] AS bit_of))"
+)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"), common.new_folder(spark, "warc"), least=0)
+    return warc.read(manifest)
