@@ -21,9 +21,11 @@ def encoder(path: str) -> PieceEncoder:
     tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
     letters = {b: letter for letter, b in byte_letters().items()}
+    space = letters[0x20]
     specials = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items() if x.special}
 
     def word(text: str) -> list[int]:
-        return [x.id for x in model.tokenize(text.encode().decode("latin-1").translate(letters))]
+        shown = text.replace(" ", space) if text.isascii() and text.strip(" ").isalpha() else text.encode().decode("latin-1").translate(letters)
+        return [x.id for x in model.tokenize(shown)]
 
     return PieceEncoder(word, specials)

@@ -19,7 +19,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 _TWO_SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-LONG = 1_000  # characters; longer pieces are not worth keeping
+LONG = 200  # characters; longer pieces are not worth keeping
 
 
 def pieces(text: str) -> list[str]:
@@ -27,8 +27,11 @@ def pieces(text: str) -> list[str]:
     return _CUT.split(text) if _TWO_SPACES.search(text) else text.split(" ")
 
 
+_SHORT = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
 def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _SHORT[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class PieceEncoder:
@@ -43,11 +46,14 @@ class PieceEncoder:
         self.split = regex.compile(WORDS).findall
         marks = "|".join(map(re.escape, sorted(specials, key=len, reverse=True)))
         self.special = re.compile(f"({marks})") if specials else None
-        self.known = Memo(self._piece, size)
+        short = lambda x: len(x) <= LONG
+        self.known = Memo(self._piece, size, short)  # by piece, behind a space
+        self.bare = Memo(lambda w: packed(self.word(w)), size // 4, short)  # by word, as it is
         self.ends = {x: self._words(x) for x in ",.;:!?"}
 
     def _words(self, text: str) -> bytes:
-        return b"".join(packed(self.word(w)) for w in self.split(text))
+        known, bare = self.known, self.bare
+        return b"".join([known[w[1:]] if w[0] == " " and w[1:].isalpha() else bare[w] for w in self.split(text)])
 
     def _piece(self, piece: str) -> bytes:
         """A piece behind a space. Letters alone are one word, and a mark behind them is another."""
@@ -60,8 +66,6 @@ class PieceEncoder:
 
     def _plain(self, text: str) -> bytes:
         first, *rest = pieces(text)
-        if len(text) > LONG and max(map(len, rest), default=0) > LONG:
-            return self._words(first) + b"".join(self.known[p] if len(p) <= LONG else self._piece(p) for p in rest)
         return self._words(first) + b"".join(map(self.known.__getitem__, rest))
 
     def encode(self, text: str | None) -> bytes:

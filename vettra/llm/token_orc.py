@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vettra.llm.common import arrow_map, columns, texts
+from vettra.llm.common import arrow_map, columns, stored, texts
 from vettra.llm.library_encoder import encoder
 
 SCHEMA = "doc_id bigint, n_tokens int, ids array<int>"
@@ -87,6 +87,7 @@ def located(rows: DataFrame) -> DataFrame:
 
     files = rows.select("doc_id", "ids", F.col("_metadata.file_path").alias("file"))
     counted = arrow_map(files, "doc_id bigint, file string, n_tokens bigint, ids_crc32 bigint", run)
+    counted = stored(counted, "token-places")  # read twice below, and small
     first = F.col("doc_id").asc_nulls_first()
     sums = counted.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("doc_id"))
     before_file = F.sum("total").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1))
