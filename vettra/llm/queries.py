@@ -53,7 +53,8 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Not in SQL (encoded lengths); held against the tokenizers library in the tests."""
     docs = table(spark, sf_dir, "documents")
-    return token_counts.limits(token_counts.histogram(token_counts.lengths(docs, tokenizer())))
+    hist = token_counts.histogram(token_counts.lengths(docs, tokenizer()))
+    return token_counts.limits(common.stored(hist, "length-histogram"))  # read twice
 
 
 @query()
