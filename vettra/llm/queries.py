@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettra.llm import bpe_automaton, common, decontaminate, pii, quality_rules, token_counts, token_orc, warc
+from vettra.llm import bpe_automaton, common, decontaminate, hamming_dedup, pii, quality_rules, token_counts, token_orc, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,3 +110,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(table(spark, sf_dir, "pages"), common.new_folder(spark, "warc"), least=0)
     return warc.read(manifest)
+
+
+@query()
+def op7_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs and reachability are too slow in SQL over whole tables; held against brute force in the tests."""
+    return hamming_dedup.linked(table(spark, sf_dir, "documents"), size=3, percent=85)
