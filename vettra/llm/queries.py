@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettra.llm import bpe_automaton, common, decontaminate, hamming_dedup, pii, quality_rules, token_counts, token_orc, warc
+from vettra.llm import bpe_automaton, common, cotraining, decontaminate, hamming_dedup, language_id, pii, quality_rules, token_counts, token_orc, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,3 +116,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs and reachability are too slow in SQL over whole tables; held against brute force in the tests."""
     return hamming_dedup.linked(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query()
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not in SQL (a trained model); held-out accuracy is tested."""
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not in SQL (a trained model); held-out accuracy is tested."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
