@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,8 +133,6 @@ def cleaned(docs: DataFrame, max_docs: int = 100, min_left: float = 0.3) -> Data
 
 def _without():
     """A function of (text, hashes): the text without the lines of these hashes."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def without(text: pd.Series, gone: pd.Series) -> pd.Series:
         import xxhash

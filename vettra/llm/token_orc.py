@@ -19,7 +19,7 @@ from vettra.llm.library_encoder import encoder
 SCHEMA = "doc_id bigint, n_tokens int, ids array<int>"
 
 WRITING = {
-    "compression": "zstd",
+    "compression": "lz4",
     "orc.stripe.size": str(16 << 20),
     "orc.row.index.stride": "1000",
     "orc.create.index": "true",
