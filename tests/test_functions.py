@@ -49,6 +49,18 @@ def test_golden_normalization(spark):
         assert r.transliterated == (not GOLDEN[i][0][0].isascii())
 
 
+@pytest.mark.parametrize(
+    ("raw", "expected", "dropped"),
+    [
+        ("\u06cc\u0648\u0633\u0641", "wsf", 1), ("\uae40\uc815\uc740", "gimjeongeun", 0), ("\u3084\u307e\u3060", "yamada", 0), ("\u0928\u0930\u0947\u0928\u094d\u0926\u094d\u0930 \u092e\u094b\u0926\u0940", "nrendr modii", 0),
+        ("\u10d2\u10d8\u10dd\u10e0\u10d2\u10d8", "giorgi", 0), ("\u05d3\u05d5\u05d3", "dvd", 0), ("\u0531\u0580\u0561\u0574", "aram", 0), ("\u4e60\u8fd1\u5e73", "", 3), ("\u738b Wei", "wei", 1), ("", "", 0), (None, "", 0),
+    ],
+)
+def test_scripts(spark, raw, expected, dropped):
+    assert one(spark, names.canonical_name(F.col("n")), n=raw) == expected
+    assert one(spark, translit.dropped_letters(F.col("n")), n=raw) == dropped
+
+
 def one(spark, column, **values):
     row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))
     return row.select(column.alias("x")).first().x

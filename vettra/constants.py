@@ -39,69 +39,81 @@ MIN_PRECISION = 0.95
 MIN_RECALL = 0.90
 MEDIA_CONFIDENCE_RANGE = (0.3, 0.99)
 
-# --- fixed values: country names (lower case, romanised) by ISO code ---------------------------------------------
-COUNTRY_NAMES = {
-    "RU": ["russia", "russian federation"],
-    "CY": ["cyprus"],
-    "UA": ["ukraine"],
-    "GB": ["united kingdom", "great britain", "england"],
-    "US": ["united states", "united states of america", "usa"],
-    "DE": ["germany", "deutschland"],
-    "FR": ["france"],
-    "ES": ["spain"],
-    "IT": ["italy"],
-    "NL": ["netherlands"],
-    "CH": ["switzerland"],
-    "CN": ["china"],
-    "IR": ["iran", "islamic republic of iran"],
-    "SY": ["syria", "syrian arab republic"],
-    "KP": ["north korea"],
-    "KR": ["south korea", "korea"],
-    "BY": ["belarus"],
-    "KZ": ["kazakhstan"],
-    "TR": ["turkey", "turkiye"],
-    "PL": ["poland"],
-    "PT": ["portugal"],
-    "GR": ["greece"],
-    "AT": ["austria"],
-    "BE": ["belgium"],
-    "SE": ["sweden"],
-    "NO": ["norway"],
-    "FI": ["finland"],
-    "DK": ["denmark"],
-    "IE": ["ireland"],
-    "IN": ["india"],
-    "JP": ["japan"],
-    "BR": ["brazil"],
-    "CA": ["canada"],
-    "AU": ["australia"],
-    "MX": ["mexico"],
-    "EG": ["egypt"],
-    "SA": ["saudi arabia"],
-    "AE": ["united arab emirates", "uae"],
-    "IL": ["israel"],
-    "ZA": ["south africa"],
-    "NG": ["nigeria"],
-    "AR": ["argentina"],
-    "VE": ["venezuela"],
-    "GE": ["georgia"],
-    "AM": ["armenia"],
-    "AZ": ["azerbaijan"],
-    "MD": ["moldova"],
-    "EE": ["estonia"],
-    "LV": ["latvia"],
-    "LT": ["lithuania"],
-    "MT": ["malta"],
-    "LU": ["luxembourg"],
-    "RO": ["romania"],
-    "BG": ["bulgaria"],
-    "HU": ["hungary"],
-    "CZ": ["czechia", "czech republic"],
-    "SK": ["slovakia"],
-    "SI": ["slovenia"],
-    "HR": ["croatia"],
-    "RS": ["serbia"],
-    "ID": ["indonesia"],
-    "ZW": ["zimbabwe"],
+# --- fixed values: ISO code by country name (lower case, romanised) -----------------------------------------------
+COUNTRY_BY_NAME = {
+    "russia": "RU",
+    "russian federation": "RU",
+    "cyprus": "CY",
+    "ukraine": "UA",
+    "united kingdom": "GB",
+    "great britain": "GB",
+    "england": "GB",
+    "united states": "US",
+    "united states of america": "US",
+    "usa": "US",
+    "germany": "DE",
+    "deutschland": "DE",
+    "france": "FR",
+    "spain": "ES",
+    "italy": "IT",
+    "netherlands": "NL",
+    "switzerland": "CH",
+    "china": "CN",
+    "iran": "IR",
+    "islamic republic of iran": "IR",
+    "syria": "SY",
+    "syrian arab republic": "SY",
+    "north korea": "KP",
+    "south korea": "KR",
+    "korea": "KR",
+    "belarus": "BY",
+    "kazakhstan": "KZ",
+    "turkey": "TR",
+    "turkiye": "TR",
+    "poland": "PL",
+    "portugal": "PT",
+    "greece": "GR",
+    "austria": "AT",
+    "belgium": "BE",
+    "sweden": "SE",
+    "norway": "NO",
+    "finland": "FI",
+    "denmark": "DK",
+    "ireland": "IE",
+    "india": "IN",
+    "japan": "JP",
+    "brazil": "BR",
+    "canada": "CA",
+    "australia": "AU",
+    "mexico": "MX",
+    "egypt": "EG",
+    "saudi arabia": "SA",
+    "united arab emirates": "AE",
+    "uae": "AE",
+    "israel": "IL",
+    "south africa": "ZA",
+    "nigeria": "NG",
+    "argentina": "AR",
+    "venezuela": "VE",
+    "georgia": "GE",
+    "armenia": "AM",
+    "azerbaijan": "AZ",
+    "moldova": "MD",
+    "estonia": "EE",
+    "latvia": "LV",
+    "lithuania": "LT",
+    "malta": "MT",
+    "luxembourg": "LU",
+    "romania": "RO",
+    "bulgaria": "BG",
+    "hungary": "HU",
+    "czechia": "CZ",
+    "czech republic": "CZ",
+    "slovakia": "SK",
+    "slovenia": "SI",
+    "croatia": "HR",
+    "serbia": "RS",
+    "indonesia": "ID",
+    "zimbabwe": "ZW",
 }
-COUNTRY_BY_NAME = {name: code for code, names in COUNTRY_NAMES.items() for name in names}
+COUNTRY_CODES = sorted(set(COUNTRY_BY_NAME.values()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vettra.constants import COUNTRY_BY_NAME, COUNTRY_NAMES
+from vettra.constants import COUNTRY_BY_NAME, COUNTRY_CODES
 from vettra.functions.names import stripped
 from vettra.functions.translit import literal_map, transliterate
 
@@ -43,7 +43,7 @@ def country_iso2(raw: Column, extra: dict[str, str] | None = None) -> Column:
     table = literal_map(COUNTRY_BY_NAME)
     spaced = F.trim(F.regexp_replace(F.lower(transliterate(text, extra)), r"[\s\x1c-\x1f]+", " "))
     code = F.upper(text)
-    return F.when((F.length(text) == 2) & F.array_contains(F.split(F.lit(" ".join(COUNTRY_NAMES)), " "), code), code).otherwise(
+    return F.when((F.length(text) == 2) & F.array_contains(F.split(F.lit(" ".join(COUNTRY_CODES)), " "), code), code).otherwise(
         F.try_element_at(table, F.btrim(spaced, F.lit(".")))
     )
 

@@ -11,8 +11,8 @@ from vettra.functions import fields, names, translit
 def normalize(raw: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
     """Canonicalise columns full_name, dob, nationality, residence_country, document_ids; other columns are kept.
 
-    Adds canonical_name, name_parts, dob_iso, nationality_iso2, residence_iso2, profile_hash, transliterated and
-    fields_defaulted; document_ids becomes an empty array where it is null.
+    Adds canonical_name, name_parts, dob_iso, nationality_iso2, residence_iso2, profile_hash, transliterated,
+    dropped_letters and fields_defaulted; document_ids becomes an empty array where it is null.
     """
     kept = [c for c in raw.columns if c not in ("full_name", "dob", "nationality", "residence_country", "document_ids")]
     full_name = F.coalesce("full_name", F.lit(""))
@@ -24,6 +24,7 @@ def normalize(raw: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
         fields.country_iso2(F.col("residence_country"), extra).alias("residence_iso2"),
         F.coalesce("document_ids", F.array().cast(raw.schema["document_ids"].dataType)).alias("document_ids"),
         translit.was_transliterated(full_name).alias("transliterated"),
+        translit.dropped_letters(full_name, extra).alias("dropped_letters"),
     )
     return stage.select(
         "*",
@@ -33,6 +34,12 @@ def normalize(raw: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
     )
 
 
+def is_unreadable(full_name: Column, extra: dict[str, str] | None = None) -> Column:
+    """A name that lost letters and of which nothing is left: it can match no list, so it must not pass as clear."""
+    name = F.coalesce(full_name, F.lit(""))
+    return (translit.dropped_letters(name, extra) > 0) & (names.canonical_name(name, extra) == "")
+
+
 def fields_defaulted() -> Column:
     """Names of the fields that could not be read, in fixed order."""
     missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in ("dob_iso", "nationality_iso2", "residence_iso2")]

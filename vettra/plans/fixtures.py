@@ -21,8 +21,8 @@ NATIONALITIES = [
     "Switzerland", "China", "Iran", "Syria", "North Korea", "South Korea", "Belarus", "Kazakhstan", "Türkiye", "Poland",
     "Portugal", "Greece.", "at", "Atlantis", "UK",
 ]
-PROGRAMS = ["OFAC-SDN", "EU-CFSP", "UN-SC", "HMT", "OFAC-SSI"]
-COUNTRIES = ["RU", "UA", "BY", "KZ", "SY", "IR", "CN", "NG", "MX", "VE", "TR", "DE", "FR", "GB"]
+PROGRAMS = [f"PROG-{i}" for i in range(1, 8)]
+COUNTRIES = "AT BE BG CZ DK EE FI GR HU IT JP".split()
 EPOCH = "1940-01-01"
 
 
@@ -59,10 +59,15 @@ def _list_of(j: Column) -> tuple[Column, Column]:
     return list_type, provider
 
 
+def entry_id(list_type: Column, j: Column, mark: str = "_") -> Column:
+    """At least four digits; ``mark`` keeps added entries apart from listed ones at any number."""
+    return F.concat(F.lit("wl_"), list_type, F.lit(mark), F.format_string("%04d", j))
+
+
 def _risk(j: Column, name: Column) -> Column:
     kind = j % 3
     return F.struct(
-        F.when(kind == 0, _pick(PROGRAMS, j % 5)).alias("program"),
+        F.when(kind == 0, _pick(PROGRAMS, j % len(PROGRAMS))).alias("program"),
         F.when(kind == 1, 1 + _div(j, 3) % 4).cast("int").alias("pep_tier"),
         F.when(kind == 2, (30 + j % 70) / 100.0).alias("media_confidence"),
         F.when(
@@ -73,9 +78,9 @@ def _risk(j: Column, name: Column) -> Column:
                         F.struct(F.concat(name, F.lit(text)).alias("headline"), F.lit(f"src_{i}").alias("source"))
                         for i, text in enumerate(
                             (
-                                " linked to financial misconduct probe",
-                                " tied to financial misconduct probe",
-                                " linked to financial misconduct investigation",
+                                " named in a customs case",
+                                " appears before a court",
+                                " is asked about an invoice",
                             )
                         )
                     ]
@@ -100,14 +105,14 @@ def entries(spark: SparkSession, sf_dir: str, version: str = "v1") -> DataFrame:
         .select(F.col("s_suppkey").cast("bigint").alias("j"))
         .select(
             "j",
-            F.concat(F.lit("wl_"), list_type, F.lit("_"), F.format_string("%04d", j)).alias("entry_id"),
+            entry_id(list_type, j).alias("entry_id"),
             provider.alias("provider_id"),
             list_type.alias("list_type"),
             F.lit(version).alias("list_version"),
             name.alias("entity_name"),
             F.when(last.endswith("v"), F.array(swapped, spelled)).otherwise(F.array(swapped)).alias("aliases"),
             F.when(j % 20 != 0, day(j * 37)).cast("string").alias("dob_iso"),
-            _pick(COUNTRIES, j % 14).alias("country_iso2"),
+            _pick(COUNTRIES, j % len(COUNTRIES)).alias("country_iso2"),
             _risk(j, name).alias("risk_payload"),
         )
     )
@@ -193,8 +198,7 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = j * 15 + 3 + j % 12  # the customer an added entry describes
     x = k * 7 + 3
     name = F.concat_ws(" ", first_name(x), last_name(x))
-    added_id = F.concat(F.lit("wl_"), list_type, F.lit("_9"), F.format_string("%04d", j))
-    listed_id = F.concat(F.lit("wl_"), list_type, F.lit("_"), F.format_string("%04d", j))
+    added_id, listed_id = entry_id(list_type, j, "_u"), entry_id(list_type, j)
     change = F.when(kind == 0, "add").when(kind == 1, "remove").otherwise("version_bump")
     entry = F.struct(
         F.when(kind == 0, added_id).otherwise(listed_id).alias("entry_id"),

@@ -6,7 +6,7 @@ expressions. Nothing here is used by the engine.
 
 from __future__ import annotations
 
-from vettra.constants import COUNTRY_BY_NAME, COUNTRY_NAMES
+from vettra.constants import COUNTRY_BY_NAME, COUNTRY_CODES
 from vettra.plans import fixtures as fx
 
 
@@ -33,7 +33,7 @@ def _sid(prefix: str, expression: str) -> str:
 
 
 COUNTRY_ROWS = ", ".join(f"('{name}', '{code}')" for name, code in COUNTRY_BY_NAME.items())
-CODES = ", ".join(f"'{c}'" for c in COUNTRY_NAMES)
+CODES = ", ".join(f"'{c}'" for c in COUNTRY_CODES)
 LIST_TYPE = "CASE {j} % 3 WHEN 0 THEN 'sanctions' WHEN 1 THEN 'pep' ELSE 'adverse_media' END"
 PROVIDER = "CASE {j} % 3 WHEN 0 THEN 'world_check' WHEN 1 THEN 'dow_jones' ELSE 'comply_advantage' END"
 KEYS = (
@@ -159,8 +159,8 @@ CTES: dict[str, str] = {
          CASE WHEN last LIKE '%v' THEN [last || ' ' || first, first || ' ' || left(last, length(last) - 1) || 'ff']
               ELSE [last || ' ' || first] END AS aliases,
          CASE WHEN j % 20 <> 0 THEN {_day('j * 37')} END AS dob,
-         {_list(fx.COUNTRIES)}[j % 14 + 1] AS country_iso2,
-         CASE WHEN j % 3 = 0 THEN {_list(fx.PROGRAMS)}[j % 5 + 1] END AS program,
+         {_list(fx.COUNTRIES)}[j % {len(fx.COUNTRIES)} + 1] AS country_iso2,
+         CASE WHEN j % 3 = 0 THEN {_list(fx.PROGRAMS)}[j % {len(fx.PROGRAMS)} + 1] END AS program,
          CASE WHEN j % 3 = 1 THEN 1 + (j // 3) % 4 END::INTEGER AS pep_tier,
          CASE WHEN j % 3 = 2 THEN (30 + j % 70) / 100.0::DOUBLE END AS media_confidence,
          list_distinct(flatten([{KEYS.format(n="first || ' ' || last")},
@@ -176,7 +176,7 @@ CTES: dict[str, str] = {
   SELECT e.entry_id, e.provider_id, e.list_type, e.entity_name, e.aliases, e.dob, e.pep_tier, e.media_confidence, e.keys
   FROM entry e JOIN upd u ON e.j = u.j WHERE u.change <> 'remove'
   UNION ALL
-  SELECT 'wl_' || list_type || '_9' || printf('%04d', j), provider_id, list_type, added_name, []::VARCHAR[],
+  SELECT 'wl_' || list_type || '_u' || printf('%04d', j), provider_id, list_type, added_name, []::VARCHAR[],
          {_day('ck * 53 + 11')}, CASE WHEN j % 3 = 1 THEN 1 + (j // 3) % 4 END::INTEGER,
          CASE WHEN j % 3 = 2 THEN (30 + j % 70) / 100.0::DOUBLE END, {KEYS.format(n='added_name')}
   FROM upd WHERE change = 'add'""",

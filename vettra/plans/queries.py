@@ -72,6 +72,79 @@ def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.submissions(spark, sf_dir).select("k", parts.alias("p")).select("k", "p.first", "p.last", "p.middle")
 
 
+# Letters of each script and their spelling, without the capitals; a name takes six letters by its key.
+_SCRIPTS = {
+    "cyrillic": translit.CYRILLIC_LOWER, "greek": translit.GREEK_LOWER, "arabic": translit.ARABIC, "hebrew": translit.HEBREW,
+    "armenian": translit.ARMENIAN_LOWER, "georgian": translit.GEORGIAN, "devanagari": translit.DEVANAGARI,
+    "kana": {chr(0x30AB + i): s for i, s in enumerate(translit.KANA_ROWS[0x304B].split())},
+}
+_PLACES = range(6)
+
+
+def _sql_texts(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _script_sql(name: str, table: dict[str, str]) -> str:
+    places = [f"(c_custkey * 7 + {i * i * 5} + c_custkey // 3 * {i}) % {len(table)} + 1" for i in _PLACES]
+    return f"SELECT c_custkey AS k, '{name}' AS script, " + " || ".join(f"{_sql_texts(table.values())}[{p}]" for p in places) + (
+        " AS romanised, 0 AS dropped_letters FROM customer"
+    )
+
+
+def _hangul_sql() -> str:
+    def one(i: int) -> str:
+        place = f"((c_custkey * 97 + {i * 1931}) % 11172)"
+        clean = [[x.replace("-", "") for x in part] for part in (translit.HANGUL_LEADS, translit.HANGUL_VOWELS, translit.HANGUL_TAILS)]
+        lead, vowel, tail = map(_sql_texts, clean)
+        return f"{lead}[{place} // 588 + 1] || {vowel}[{place} % 588 // 28 + 1] || {tail}[{place} % 28 + 1]"
+
+    return "SELECT c_custkey AS k, 'hangul' AS script, " + " || ".join(map(one, range(3))) + " AS romanised, 0 AS dropped_letters FROM customer"
+
+
+@query(" UNION ALL ".join([*(_script_sql(n, t) for n, t in _SCRIPTS.items()), _hangul_sql()]))
+def scripts_romanised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name per customer and script, spelled in Latin letters."""
+    k = F.col("c_custkey").cast("bigint")
+    written = {}
+    for name, table in _SCRIPTS.items():
+        letters = F.split(F.lit("|".join(table)), "[|]")
+        places = [((k * 7 + i * i * 5 + F.floor(k / 3) * i) % len(table)).cast("int") for i in _PLACES]
+        written[name] = F.concat(*[F.get(letters, p) for p in places])
+    syllables = [F.decode(F.unhex(F.hex(_utf8(0xAC00 + (k * 97 + i * 1931) % 11172))), "utf-8") for i in range(3)]
+    written["hangul"] = F.concat(*syllables)
+    names_ = F.explode(F.array(*[F.struct(F.lit(n).alias("script"), c.alias("text")) for n, c in written.items()]))
+    rows = fx.table(spark, sf_dir, "customer").select(k.alias("k"), names_.alias("x")).select("k", "x.*")
+    text = F.col("text")
+    return rows.select("k", "script", translit.transliterate(text).alias("romanised"), translit.dropped_letters(text).alias("dropped_letters"))
+
+
+def _utf8(code: Column) -> Column:
+    """A code point of three UTF-8 bytes, as the number those bytes make."""
+    return 0xE08080 + F.floor(code / 4096) * 65536 + F.floor(code / 64) % 64 * 256 + code % 64
+
+
+@query(
+    "SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'wei' ELSE 'maria' END AS canonical_name, "
+    "CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS dropped_letters, c_custkey % 3 = 0 AS dead_letter FROM customer"
+)
+def unreadable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in a script without a table: counted where something is left, refused where nothing is."""
+    k = F.col("c_custkey").cast("bigint")
+    raw = fx.table(spark, sf_dir, "customer").select(
+        k.alias("k"),
+        F.concat(F.lit("cli_"), k.cast("string")).alias("client_id"),
+        F.concat(F.lit("trc_"), k.cast("string")).alias("trace_id"),
+        F.when(k % 3 == 0, "\u91d1\u6b63").when(k % 3 == 1, "\u738b Wei").otherwise("Mar\u00eda").alias("full_name"),
+        F.lit("1980-01-01").alias("dob"), F.lit("France").alias("nationality"), F.lit(None).cast("string").alias("residence_country"),
+        F.lit(None).cast("array<struct<type:string,value:string>>").alias("document_ids"),
+    )
+    refused = ingest.unreadable(raw).select("client_id", F.lit(True).alias("dead_letter"))
+    return normalize.normalize(raw).join(refused, "client_id", "left").select(
+        "k", "canonical_name", "dropped_letters", F.coalesce("dead_letter", F.lit(False)).alias("dead_letter")
+    )
+
+
 @query(with_ctes("SELECT k, dob::VARCHAR AS dob_iso FROM base", "base"))
 def birth_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.submissions(spark, sf_dir).select("k", fields.parse_dob(F.col("dob")).cast("string").alias("dob_iso"))
@@ -593,7 +666,7 @@ def served_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_ctes(
         "SELECT e.entry_id, e.entity_name, CASE WHEN u.change = 'remove' THEN 'v2' ELSE 'v1' END AS list_version, "
         "u.change <> 'remove' AS is_active FROM entry e JOIN upd u ON e.j = u.j UNION ALL "
-        "SELECT 'wl_' || list_type || '_9' || printf('%04d', j), added_name, 'v2', true FROM upd WHERE change = 'add'",
+        "SELECT 'wl_' || list_type || '_u' || printf('%04d', j), added_name, 'v2', true FROM upd WHERE change = 'add'",
         "entry", "upd",
     )
 )

@@ -1,4 +1,4 @@
-"""Registered queries: monitors, metrics, stage log, validators, synthetic data, sources and streams."""
+"""Registered queries: monitors, metrics, stage log, validators, sources and streams."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vettra.constants import PIPELINE_STAGES
 from vettra.functions.fields import message_key
-from vettra.operators import decide, evaluation, lists, metrics, monitors, screen, stagelog, synth, validate
+from vettra.operators import decide, evaluation, lists, metrics, monitors, screen, stagelog, validate
 from vettra.plans import fixtures as fx
 from vettra.plans.oracle import LIST_TYPE, _sid, with_ctes
 from vettra.plans.pipeline import Run, run_for
@@ -311,7 +311,7 @@ def faulty_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
             "dob_iso": F.when(case == 2, "1972-13-40").otherwise(F.col("dob_iso")),
             "entity_name": F.when(case == 3, "  ").otherwise(F.col("entity_name")),
             "entry_id": F.when(case == 4, F.concat(F.lit("sanctions_"), j.cast("string")))
-            .when((case == 8) & (other >= 0), synth.entry_id(other_list, other))
+            .when((case == 8) & (other >= 0), fx.entry_id(other_list, other))
             .otherwise(F.col("entry_id")),
             "provider_id": F.when(case == 5, F.lit("nobody")).otherwise(F.col("provider_id")),
             "risk_payload": F.when(case != 6, F.col("risk_payload")),
@@ -360,7 +360,7 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     twice = F.col("j") * 2
     list_type = F.when(twice % 3 == 0, "sanctions").when(twice % 3 == 1, "pep").otherwise("adverse_media")
-    targets = entries.select(synth.entry_id(list_type, twice).alias("entry_id"))
+    targets = entries.select(fx.entry_id(list_type, twice).alias("entry_id"))
     return validate.manifest_violations(declared, targets, entries).select("check", "locator")
 
 
@@ -411,93 +411,30 @@ def decide_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------------------------------------ synthetic data
-_PULL = "('0x' || substr(md5('42|' || {parts}), 1, 8))::BIGINT % {n}"
-
-
-def _drawn(n: int, tag: str) -> str:
-    return _PULL.format(parts=f"lt || '|' || seq || '|{tag}'", n=n)
-
-
-def _names_list(values: list[str]) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
-
-
-_ANCHORS = ", ".join(
-    "(" + ", ".join("NULL" if v is None else f"'{','.join(v) if isinstance(v, list) else v}'" for v in a) + ")" for a in synth.ANCHORS
-)
-_SYNTH = f"""
-WITH anchor AS (SELECT * FROM (VALUES {_ANCHORS}) t(a_lt, a_seq, a_name, a_aliases, a_dob, a_country, a_program, a_tier, a_conf)),
-r AS (SELECT {LIST_TYPE.format(j='p_partkey')} AS lt, p_partkey // 3 + 1 AS seq FROM part),
-d AS (SELECT *, {_names_list(synth.FIRST_NAMES)}[{_drawn(40, 'first')} + 1] AS first,
-             {_names_list(synth.LAST_NAMES)}[{_drawn(40, 'last')} + 1] AS last,
-             {_names_list(synth.FIRST_NAMES)}[{_drawn(40, 'kin_name')} + 1] AS kin,
-             a.* FROM r LEFT JOIN anchor a ON r.lt = a.a_lt AND r.seq = a.a_seq::BIGINT)
-SELECT 'wl_' || lt || '_' || printf('%04d', seq) AS entry_id, coalesce(a_name, first || ' ' || last) AS entity_name,
-       CASE WHEN a_name IS NOT NULL THEN a_aliases ELSE array_to_string(list_distinct_kept, ',') END AS aliases,
-       CASE WHEN a_name IS NOT NULL THEN a_dob WHEN lt = 'sanctions' AND {_drawn(100, 'no_dob')} < 20 THEN NULL ELSE (1945 + {_drawn(51, 'year')}) || '-' ||
-         lpad((1 + {_drawn(12, 'month')})::VARCHAR, 2, '0') || '-' || lpad((1 + {_drawn(28, 'day')})::VARCHAR, 2, '0') END AS dob_iso,
-       CASE WHEN lt = 'pep' THEN coalesce(a_tier::BIGINT, 1 + {_drawn(4, 'tier')}) END::INTEGER AS pep_tier,
-       CASE WHEN lt = 'adverse_media' THEN coalesce(a_conf::DOUBLE, (30 + {_drawn(70, 'confidence')}) / 100.0::DOUBLE) END AS media_confidence,
-       CASE WHEN lt = 'adverse_media' THEN 1 + {_drawn(3, 'articles')} ELSE 0 END::INTEGER AS articles
-FROM (SELECT *, list_filter([s1, CASE WHEN s2 IS DISTINCT FROM s1 THEN s2 END,
-                             CASE WHEN s3 IS DISTINCT FROM s1 AND s3 IS DISTINCT FROM s2 THEN s3 END], lambda a: a IS NOT NULL) AS list_distinct_kept
-      FROM (SELECT *, CASE WHEN {_drawn(100, 'swap')} < 50 THEN last || ' ' || first END AS s1,
-                   CASE WHEN last LIKE '%v' AND {_drawn(100, 'spell')} < 40 THEN first || ' ' || left(last, length(last) - 1) || 'ff' END AS s2,
-                   CASE WHEN {_drawn(100, 'kin')} < 30 THEN kin || ' ' || last END AS s3 FROM d))"""
-
-
-def _part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("p_partkey")
-    kind = p % 3
-    return fx.table(spark, sf_dir, "part").select(
-        F.when(kind == 0, "sanctions").when(kind == 1, "pep").otherwise("adverse_media").alias("list_type"),
-        (F.floor(p / 3) + 1).cast("bigint").alias("seq"),
-    )
-
-
-@query(_SYNTH)
-def synthetic_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One generated entry per part, the six fixed anchors first."""
-    return synth.watchlist(_part_rows(spark, sf_dir)).select(
-        "entry_id", "entity_name", joined("aliases").alias("aliases"), "dob_iso", "risk_payload.pep_tier",
-        "risk_payload.media_confidence", F.coalesce(F.size("risk_payload.articles"), F.lit(0)).alias("articles"),
-    )
+_MIX = {"clean": 50, "dirty": 20, "edge": 12, "adversarial": 8}
 
 
 @query(
-    f"SELECT 'wl_' || lt || '_' || printf('%04d', seq) AS entry_id FROM (SELECT {LIST_TYPE.format(j='p_partkey')} AS lt, "
-    "p_partkey // 3 + 1 AS seq FROM part) WHERE seq <= CASE lt WHEN 'sanctions' THEN 3 WHEN 'pep' THEN 2 ELSE 1 END OR (seq - 1) % 7 = 0"
+    "WITH p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 10 < 5 THEN 'clean' WHEN c_custkey % 10 < 7 THEN 'dirty' "
+    "WHEN c_custkey % 10 < 9 THEN 'edge' ELSE 'adversarial' END AS category, "
+    "'cli_' || (c_custkey - CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END) AS client_id FROM customer) "
+    "SELECT 'category_mix' AS \"check\", m.category AS locator FROM (VALUES ('clean', 50), ('dirty', 20), ('edge', 12), "
+    "('adversarial', 8)) m(category, share) LEFT JOIN (SELECT category, count(*) AS n FROM p GROUP BY 1) c USING (category) "
+    "WHERE abs(coalesce(n, 0) * 100 - (SELECT count(*) FROM p) * share) > 100 UNION ALL "
+    "SELECT 'unknown_expected_match', client_id FROM p WHERE k % 4 = 0 AND k // 2 NOT IN (SELECT s_suppkey FROM supplier) UNION ALL "
+    "SELECT 'duplicate_client_id', client_id FROM p GROUP BY client_id HAVING count(*) > 1"
 )
-def plant_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lt, seq = F.col("list_type"), F.col("seq")
-    return _part_rows(spark, sf_dir).where(synth.is_plant_target(lt, seq)).select(synth.entry_id(lt, seq).alias("entry_id"))
-
-
-def _generated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    entries = stored(synth.watchlist(_part_rows(spark, sf_dir)), "synth_list")
-    sizes = {r.list_type: r.n for r in entries.groupBy("list_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    return synth.profiles(rows, entries, sizes), entries
-
-
-@query("SELECT CASE WHEN c < 55 THEN 'clean' WHEN c < 80 THEN 'dirty' WHEN c < 92 THEN 'edge' ELSE 'adversarial' END AS category, "
-       "count(*)::BIGINT AS profiles FROM (SELECT o_orderkey % 100 AS c FROM orders) GROUP BY 1")
-def synthetic_profile_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _generated(spark, sf_dir)[0].groupBy("category").agg(F.count(F.lit(1)).alias("profiles"))
-
-
-@query()
-def synthetic_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One generated submission per order."""
-    return _generated(spark, sf_dir)[0]
-
-
-@query("SELECT NULL::VARCHAR AS \"check\", NULL::VARCHAR AS locator FROM orders WHERE o_orderkey < 0")
-def synthetic_profile_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No violation: shares as asked, planted ids exist, client ids unique."""
-    made, entries = _generated(spark, sf_dir)
-    return validate.profile_set_violations(stored(made, "synth_profile"), entries, synth.CATEGORY_MIX).select("check", "locator")
+def profile_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a profile set: two shares off, some ids twice, some expected entries on no list."""
+    k = F.col("c_custkey").cast("bigint")
+    half = F.floor(k / 2).cast("bigint")
+    list_type = F.when(half % 3 == 0, "sanctions").when(half % 3 == 1, "pep").otherwise("adverse_media")
+    profiles = fx.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("cli_"), (k - F.when(k % 50 == 0, 1).otherwise(0)).cast("string")).alias("client_id"),
+        F.when(k % 10 < 5, "clean").when(k % 10 < 7, "dirty").when(k % 10 < 9, "edge").otherwise("adversarial").alias("category"),
+        F.when(k % 4 == 0, fx.entry_id(list_type, half)).alias("expected_match_entry_id"),
+    )
+    return validate.profile_set_violations(profiles, fx.entries(spark, sf_dir), _MIX).select("check", "locator")
 
 
 # ------------------------------------------------------------------------------------------------ sources and streams

@@ -45,7 +45,7 @@ def missing_files(spark: SparkSession, folder: str) -> DataFrame:
         try:
             spark.read.schema("value string").text(f"{folder}/{name}").schema  # noqa: B018
         except AnalysisException:
-            rows.append(("missing_file", name, "watchlist file not found"))
+            rows.append(("missing_file", name, "no file for this list"))
     return spark.createDataFrame(rows, schemas.VIOLATION)
 
 
