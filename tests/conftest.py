@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
@@ -12,6 +13,6 @@ from vettra.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("vettra-tests", shuffle_partitions=4)
+    session = local_session("vettra-tests", os.environ.get("TEST_CPUS", "*"), shuffle_partitions=4)
     yield session
     session.stop()

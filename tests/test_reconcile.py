@@ -73,7 +73,7 @@ def test_same_or_older_version_affects_nobody(base, spark):
     assert (r.clients_rescreened, r.old_version) == (0, None)
 
 
-def test_waiting_updates_screen_each_client_once(base, spark):
+def test_waiting_updates_are_booked_on_their_own_run(base, spark):
     rows = [
         (1, "world_check", "sanctions", "add", ADDED, "v2"),
         (2, "world_check", "sanctions", "remove", ADDED, "v3"),
@@ -81,11 +81,18 @@ def test_waiting_updates_screen_each_client_once(base, spark):
         (4, "dow_jones", "pep", "rename", None, "v9"),
     ]
     result = run(base, spark, rows)
-    runs = {(r.provider_id, r.new_version): r.clients_rescreened for r in result.runs.collect()}
-    assert runs == {("world_check", "v2"): 3, ("world_check", "v3"): 0, ("dow_jones", "v2"): 0}
-    assert outcomes(result)["add"] == ("CLEAR", "CLEAR", "unchanged")
-    versions = result.screening.first().list_versions
-    assert (versions["world_check"], versions["dow_jones"]) == ("v3", "v2")
+    runs = {(r.provider_id, r.new_version): (r.clients_rescreened, r.newly_flagged, r.newly_cleared) for r in result.runs.collect()}
+    assert runs == {("world_check", "v2"): (3, 1, 0), ("world_check", "v3"): (3, 0, 1), ("dow_jones", "v2"): (3, 0, 0)}
+    last = {r.client_id: r.list_versions for r in result.screening.collect() if r.list_versions["dow_jones"] == "v2"}
+    assert len(last) == 3 and {v["world_check"] for v in last.values()} == {"v3"}
+    assert result.audit.count() == result.decision.count() == result.screening.count() == 9
+    assert {(s.provider_id, s.list_version) for s in result.state} >= {("world_check", "v3"), ("dow_jones", "v2")}
+
+
+def test_one_run_per_event_of_a_version(base, spark):
+    rows = [(1, "world_check", "sanctions", "add", ADDED, "v2"), (2, "world_check", "sanctions", "remove", REMOVED, "v2")]
+    runs = {r.clients_rescreened: (r.old_version, r.newly_flagged, r.newly_cleared) for r in run(base, spark, rows).runs.collect()}
+    assert runs == {3: ("v1", 1, 1), 0: (None, 0, 0)}
 
 
 def test_mirror_keeps_first_names(spark):

@@ -121,3 +121,17 @@ def test_streams_end_to_end(spark, folder):
     assert runs[0].newly_cleared >= 1 and runs[0].newly_flagged == 0
     assert work.table("dead_letter_reconcile", schemas.DEAD_LETTER).count() == 2
     assert work.all_screenings().count() == 300
+    assert work.table("audit_rescreened", schemas.AUDIT).count() == 150
+
+    # The same update again, in a later batch: skipped and logged. A new client is screened on the new list.
+    spark.createDataFrame(rows[:1], schemas.MESSAGE).write.parquet(f"{root}/updates/second")
+    jobs.run_once(work.start_reconcile(events.read_topic_files(spark, f"{root}/updates/*"), once=True))
+    assert work.table("reconciliation_run", schemas.RECONCILIATION_RUN).count() == 1
+    assert work.all_screenings().count() == 300
+    log = work.table("stage_log_reconcile", schemas.STAGE_LOG).collect()
+    assert sorted("idempotent_skip" in r.detail for r in log) == [False, True]
+    late = sent.where("offset = 0").limit(1).withColumn("offset", F.lit(10**9).cast("bigint")).withColumn("value", F.regexp_replace("value", "19[0-9]{2}", "1901"))
+    late.write.parquet(f"{root}/in/third")
+    step()
+    newest = work.table("screening", jobs.SCREENING_EVENT).orderBy(F.desc("batch_id")).first()
+    assert newest.list_versions["world_check"] == "v2" and work.table("screening", jobs.SCREENING_EVENT).count() == 151

@@ -56,18 +56,16 @@ def rule_trace(match: DataFrame, rules: DataFrame) -> DataFrame:
 def decide(screening: DataFrame, match: DataFrame, rules: DataFrame, decided_at: Column | None = None) -> DataFrame:
     """One decision per screening: highest severity, all reason codes, and the best match behind that outcome.
 
-    Fixed-size aggregates only; the top match is the best of each outcome, and the final outcome picks among them.
+    One pass over the triggers of a screening: the codes are at most the rules, and the first trigger by severity, score
+    and place names both the outcome and the match.
     """
     fired = triggers(match, rules).select(
         "screening_id", "rule", "outcome", "match_id", "score", "rule_ord", *_match_order()
     )
-    best_first = F.struct(-F.col("score"), F.col("rule_ord"), F.col("list_ord"), F.col("entry_ord"))
-    per_outcome = fired.groupBy("screening_id", "outcome").agg(
-        F.collect_set("rule").alias("codes"), F.min_by("match_id", best_first).alias("top_match_id")
-    )
-    final = per_outcome.groupBy("screening_id").agg(
-        F.max_by(F.struct("outcome", "top_match_id"), severity(F.col("outcome"))).alias("top"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"),
+    first = F.struct(-severity(F.col("outcome")), -F.col("score"), F.col("rule_ord"), F.col("list_ord"), F.col("entry_ord"))
+    final = fired.groupBy("screening_id").agg(
+        F.min_by(F.struct("outcome", F.col("match_id").alias("top_match_id")), first).alias("top"),
+        F.sort_array(F.collect_set("rule")).alias("codes"),
     )
     return screening.join(final, "screening_id", "left").select(
         stable_id("dec", F.col("screening_id")).alias("decision_id"),

@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vettra.constants import LIST_CHANGES, LIST_ORDER, SCREENING_STATUSES, SEVERITY, SOURCES
 
 
+def _placed_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
 def first_of(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """First row per key. Reduced on each task before the shuffle, so a hot key moves one row per task."""
-    rest = [c for c in rows.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return rows.groupBy(*keys).agg(first).select(*keys, "_row.*").select(*rows.columns)
+    """First row per key. Spark limits each group before the shuffle, so a hot key moves one row per task."""
+    return _placed_first(rows, keys, [F.col(c).asc() for c in order])
 
 
 def last_of(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Latest row per key, ties broken by the later order columns."""
-    rest = [c for c in rows.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return rows.groupBy(*keys).agg(last).select(*keys, "_row.*").select(*rows.columns)
+    return _placed_first(rows, keys, [F.col(c).desc() for c in order])
 
 
 def seen(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from vettra.constants import LIST_CHANGES
@@ -12,18 +13,19 @@ from vettra.functions.fields import stable_id, version_key
 from vettra.operators import decide as rules_engine
 from vettra.operators import screen as screening_step
 from vettra.operators.dedup import last_of
-from vettra.operators.lists import MAX_PROVIDERS, ProviderState
+from vettra.operators.lists import ProviderState
 from vettra.session import stored
 
 
 @dataclass(frozen=True)
 class Reconciled:
     served: DataFrame
+    state: list[ProviderState]
     mirror: DataFrame
-    affected: DataFrame
     match: DataFrame
     screening: DataFrame
     decision: DataFrame
+    audit: DataFrame
     drift: DataFrame
     runs: DataFrame
 
@@ -55,20 +57,6 @@ def served_list(entries: DataFrame, updates: DataFrame) -> DataFrame:
     return kept.unionByName(added.select(columns))
 
 
-def latest_versions(updates: DataFrame) -> DataFrame:
-    """(provider_id, list_version): the version of each provider's latest update."""
-    return updates.groupBy("provider_id").agg(F.max_by("new_list_version", "seq").alias("list_version"))
-
-
-def new_state(state: list[ProviderState], updates: DataFrame) -> list[ProviderState]:
-    """Provider states after the updates; one row per provider comes to the driver."""
-    rows = latest_versions(updates).limit(MAX_PROVIDERS + 1).collect()
-    if len(rows) > MAX_PROVIDERS:
-        raise ValueError(f"more than {MAX_PROVIDERS} providers")
-    versions = {r.provider_id: r.list_version for r in rows}
-    return [replace(s, list_version=versions.get(s.provider_id, s.list_version)) for s in state]
-
-
 def upsert_mirror(mirror: DataFrame, updates: DataFrame) -> DataFrame:
     """The local copy of the lists: new entries come in, known ones change version and activity but keep their names.
 
@@ -83,8 +71,8 @@ def upsert_mirror(mirror: DataFrame, updates: DataFrame) -> DataFrame:
         if name not in changed.columns:
             changed = changed.withColumn(name, F.lit(None).cast(mirror.schema[name].dataType))
     both = mirror.select(
-        *columns, F.col("list_version").alias("_version"), F.col("is_active").alias("_active"), F.lit(-1).alias("seq")
-    ).unionByName(changed.select(*columns, "_version", "_active", F.col("seq").cast("int").alias("seq")))
+        *columns, F.col("list_version").alias("_version"), F.col("is_active").alias("_active"), F.lit(-1).cast("bigint").alias("seq")
+    ).unionByName(changed.select(*columns, "_version", "_active", F.col("seq").cast("bigint").alias("seq")))
     rest = [c for c in columns if c != "entry_id"]
     merged = both.groupBy("entry_id").agg(
         F.min_by(F.struct(*rest), "seq").alias("first"), F.max_by(F.struct("_version", "_active"), "seq").alias("last")
@@ -110,32 +98,26 @@ def latest_profile(profiles: DataFrame) -> DataFrame:
     return last_of(profiles, ["client_id"], "created_at", "profile_hash")
 
 
-def change_sets(updates: DataFrame) -> DataFrame:
-    """One row per (provider, list, new version): all changes published under one version are one run."""
-    return updates.groupBy("provider_id", "list_type", "new_list_version").agg(
-        F.min("seq").alias("seq"), F.count(F.lit(1)).alias("changes")
-    )
+def change_sets(updates: DataFrame) -> list[Row]:
+    """(provider_id, list_type, new_list_version, seq) of each version a provider published, in order of arrival.
+
+    One row per provider and version: a batch has as many rounds as there are versions in it, however many changes and
+    clients.
+    """
+    keys = ["provider_id", "list_type", "new_list_version"]
+    return sorted(updates.groupBy(*keys).agg(F.min("seq").alias("seq")).collect(), key=lambda r: r.seq)
 
 
-def affected_clients(screening: DataFrame, updates: DataFrame) -> DataFrame:
-    """(client_id, provider_id, list_type, old_version, new_list_version): clients last screened with an older version.
+def used_versions(screening: DataFrame) -> DataFrame:
+    """(client_id, list_versions) of each client's latest screening."""
+    rows = screening.select("client_id", "screened_at", "screening_id", "list_versions")
+    return latest_screening(rows).select("client_id", "list_versions")
 
-    A client belongs to the first change set that outdates it. Screening it then meets the current lists of all
-    providers, so the later change sets find it up to date: each client is screened once.
-    """
-    used = latest_screening(screening.select("client_id", "screened_at", "screening_id", "list_versions")).select(
-        "client_id", F.explode("list_versions").alias("provider_id", "old_version")
-    )
-    newer = version_key(F.col("old_version")) < version_key(F.col("new_list_version"))
-    first = F.min_by(F.struct("provider_id", "list_type", "old_version", "new_list_version"), "seq").alias("first")
-    # One row per provider and version: small whatever the number of clients.
-    return (
-        used.join(change_sets(updates), "provider_id")
-        .where(newer)
-        .groupBy("client_id")
-        .agg(first)
-        .select("client_id", "first.*")
-    )
+
+def affected_clients(versions: DataFrame, provider_id: str, new_version: str) -> DataFrame:
+    """(client_id, old_version): clients whose latest screening used an older version of the provider's list."""
+    old = F.col("list_versions")[provider_id]
+    return versions.where(version_key(old) < version_key(F.lit(new_version))).select("client_id", old.alias("old_version"))
 
 
 def drift_of(prior: Column, new: Column) -> Column:
@@ -148,33 +130,34 @@ def drift_of(prior: Column, new: Column) -> Column:
 
 
 def run_id() -> Column:
-    return stable_id("run", F.col("provider_id"), F.col("new_list_version"))
+    """One run per update event: its provider, version and place in the order of arrival."""
+    return stable_id("run", F.col("provider_id"), F.col("new_list_version"), F.col("seq").cast("string"))
 
 
-def run_rows(updates: DataFrame, affected: DataFrame, drift: DataFrame, started: Column, finished: Column) -> DataFrame:
-    """One reconciliation run per change set, also where nobody was affected."""
-    keys = ["provider_id", "list_type", "new_list_version"]
-    # The last affected client in client order names the old version.
-    before = affected.groupBy(*keys).agg(F.max_by("old_version", "client_id").alias("old_version"))
-    counted = drift.groupBy(*keys).agg(
+def run_rows(updates: DataFrame, drift: DataFrame, started: Column, finished: Column) -> DataFrame:
+    """One reconciliation run per update event, also where nobody was affected.
+
+    The first event of a version finds the clients it outdates; later events of that version find them up to date.
+    """
+    counted = drift.groupBy("run_id").agg(
+        # The last affected client in client order names the old version.
+        F.max_by("old_version", "client_id").alias("old_version"),
         F.count(F.lit(1)).cast("int").alias("clients_rescreened"),
         F.count_if(F.col("drift") == "newly_flagged").cast("int").alias("newly_flagged"),
         F.count_if(F.col("drift") == "newly_cleared").cast("int").alias("newly_cleared"),
     )
-    return (
-        change_sets(updates)
-        .join(before, keys, "left")
-        .join(counted, keys, "left")
-        .select(
-            run_id().alias("id"),
-            "provider_id",
-            "list_type",
-            "old_version",
-            F.col("new_list_version").alias("new_version"),
-            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("clients_rescreened", "newly_flagged", "newly_cleared")],
-            started.alias("started_at"),
-            finished.alias("finished_at"),
-        )
+    rows = updates.withColumn("run_id", run_id()).join(counted, "run_id", "left")
+    carried = [c for c in ("message_key",) if c in updates.columns]
+    return rows.select(
+        F.col("run_id").alias("id"),
+        "provider_id",
+        "list_type",
+        "old_version",
+        F.col("new_list_version").alias("new_version"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("clients_rescreened", "newly_flagged", "newly_cleared")],
+        started.alias("started_at"),
+        finished.alias("finished_at"),
+        *carried,
     )
 
 
@@ -189,43 +172,72 @@ def reconcile(
     limit: int | None = None,
     clock: Column | None = None,
 ) -> Reconciled:
-    """Apply the updates and screen the affected clients again through the same steps, with their original trace.
+    """Apply the updates and screen the clients each new version outdates again, with their original trace.
 
-    ``updates`` carries ``seq``, its order of arrival. All of them are set-based: no loop over updates or clients.
+    ``updates`` carries ``seq``, its order of arrival. Versions are worked off in that order: each changes its own
+    provider's list, and what it does to outcomes is booked on its own run. A client that two providers' versions
+    outdate is screened twice, as its outcome may change twice. Every screening leads to a decision and an audit row.
     """
     now = F.current_timestamp() if clock is None else clock
-    updates, _ = known_changes(updates)
-    served = stored(served_list(entries, updates), "served_list")
+    updates = stored(known_changes(updates)[0], "update")
     mirror = upsert_mirror(entries.withColumn("is_active", F.lit(True)), updates)
-    after = new_state(state, updates)
-    affected = stored(affected_clients(screening, updates), "affected_client")
-
-    # Clients without a normalized profile are skipped: the inner join drops them.
     people = latest_profile(
         profiles.select("client_id", "trace_id", "profile_hash", "canonical_name", "dob_iso", "created_at")
     )
-    asked = stored(
-        affected.join(people, "client_id")
-        .withColumn("run_id", run_id())
-        .withColumn("screening_id", stable_id("scr", F.col("run_id"), F.col("client_id")))
-        .withColumn(
-            "rescreen_reason", F.concat_ws(" ", F.lit("list_update"), F.col("provider_id"), F.col("new_list_version"))
-        ),
-        "rescreen",
-    )
-    done = screening_step.screen(
-        asked.drop("provider_id", "list_type"), served, after, limit, "client_id", now
-    )
-    decided = stored(rules_engine.decide(done.screening, done.match, rules, now), "rescreen_decision")
-    prior = latest_outcome(decision).withColumnRenamed("outcome", "prior_outcome")
-    drift = (
-        asked.select("provider_id", "list_type", "new_list_version", "client_id", "screening_id", "rescreen_reason")
-        .join(decided.select("screening_id", F.col("outcome").alias("new_outcome")), "screening_id")
-        .join(prior, "client_id", "left")
-        .withColumn("drift", drift_of(F.col("prior_outcome"), F.col("new_outcome")))
-    )
-    runs = run_rows(updates, affected, drift, now, now)
-    return Reconciled(served, mirror, affected, done.match, done.screening, decided, drift, runs)
+    served, versions = entries, used_versions(screening)
+    outcomes = latest_outcome(decision).withColumnRenamed("outcome", "prior_outcome")
+    parts: list[dict[str, DataFrame]] = []
+    for change in change_sets(updates):
+        own = updates.where(
+            (F.col("provider_id") == change.provider_id) & F.col("new_list_version").eqNullSafe(F.lit(change.new_list_version))
+        )
+        served = stored(served_list(served, own), "served_list")
+        state = [
+            replace(s, list_version=change.new_list_version) if s.provider_id == change.provider_id else s for s in state
+        ]
+        # Clients without a normalized profile are skipped: the inner join drops them.
+        facts = {k: F.lit(change[k]) for k in ("provider_id", "list_type", "new_list_version", "seq")}
+        asked = (
+            affected_clients(versions, change.provider_id, change.new_list_version)
+            .join(people, "client_id")
+            .withColumns(facts)
+            .withColumn("run_id", run_id())
+            .withColumn("screening_id", stable_id("scr", F.col("run_id"), F.col("client_id")))
+            .withColumn(
+                "rescreen_reason", F.concat_ws(" ", F.lit("list_update"), F.col("provider_id"), F.col("new_list_version"))
+            )
+        )
+        asked = stored(asked, "rescreen")
+        done = screening_step.screen(asked.drop("provider_id", "list_type"), served, state, limit, "client_id", now)
+        screened = stored(done.screening, "rescreen_screening")
+        decided = stored(rules_engine.decide(screened, done.match, rules, now), "rescreen_decision")
+        new = decided.select("client_id", "screening_id", F.col("outcome").alias("new_outcome"))
+        drift = (
+            asked.select(*facts, "run_id", "client_id", "screening_id", "old_version", "rescreen_reason")
+            .join(new.drop("client_id"), "screening_id")
+            .join(outcomes, "client_id", "left")
+            .withColumn("drift", drift_of(F.col("prior_outcome"), F.col("new_outcome")))
+        )
+        parts.append(
+            {
+                "match": done.match,
+                "screening": screened,
+                "decision": decided,
+                "audit": rules_engine.audit(screened, done.match, decided, rules),
+                "drift": stored(drift, "drift"),
+            }
+        )
+        again = asked.select("client_id")
+        versions = stored(
+            versions.join(again, "client_id", "left_anti").unionByName(screened.select("client_id", "list_versions")),
+            "used_version",
+        )
+        latest = new.select("client_id", F.col("new_outcome").alias("prior_outcome"))
+        outcomes = stored(outcomes.join(again, "client_id", "left_anti").unionByName(latest), "latest_outcome")
+    if not parts:
+        raise ValueError("no known update")
+    all_ = {name: reduce(DataFrame.unionByName, [p[name] for p in parts]) for name in parts[0]}
+    return Reconciled(served, state, mirror, runs=run_rows(updates, all_["drift"], now, now), **all_)
 
 
 def scenario_check(drift: DataFrame, expected: DataFrame) -> DataFrame:

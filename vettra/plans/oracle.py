@@ -194,6 +194,20 @@ CTES: dict[str, str] = {
     "trace50": _trace("match50"),
     "decision": _decided("trace"),
     "decision50": _decided("trace50"),
+    **{
+        key: expression
+        for mark, lists in (("_p", "'pep'"), ("_m", "'pep', 'adverse_media'"))
+        for key, expression in {
+            f"entry{mark}": "SELECT entry_id, provider_id, list_type, entity_name, aliases, dob, pep_tier, media_confidence, keys "
+            f"FROM entry WHERE list_type NOT IN ({lists}) UNION ALL SELECT * FROM entry2 WHERE list_type IN ({lists})",
+            f"cand{mark}": _cand(f"entry{mark}"),
+            f"ename{mark}": _names(f"entry{mark}"),
+            f"sim{mark}": _sim(f"cand{mark}", f"ename{mark}"),
+            f"match{mark}": _scored(f"sim{mark}"),
+            f"trace{mark}": _trace(f"match{mark}"),
+            f"decision{mark}": _decided(f"trace{mark}"),
+        }.items()
+    },
     "cand2": _cand("entry2"),
     "ename2": _names("entry2"),
     "sim2": _sim("cand2", "ename2"),
@@ -219,6 +233,19 @@ NEEDS = {
     "trace50": ["match50"],
     "decision": ["person", "trace"],
     "decision50": ["person", "trace50"],
+    **{
+        key: needs
+        for mark in ("_p", "_m")
+        for key, needs in {
+            f"entry{mark}": ["entry", "entry2"],
+            f"cand{mark}": ["person", f"entry{mark}"],
+            f"ename{mark}": [f"entry{mark}"],
+            f"sim{mark}": [f"cand{mark}", f"ename{mark}"],
+            f"match{mark}": ["person", f"sim{mark}"],
+            f"trace{mark}": [f"match{mark}"],
+            f"decision{mark}": ["person", f"trace{mark}"],
+        }.items()
+    },
     "cand2": ["person", "entry2"],
     "ename2": ["entry2"],
     "sim2": ["cand2", "ename2"],

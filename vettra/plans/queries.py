@@ -722,54 +722,81 @@ def latest_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AFFECTED = """
-SELECT client_id, CASE WHEN wc < 3 AND (seq1 <= seq2) THEN 'world_check' ELSE 'dow_jones' END AS provider_id,
-       CASE WHEN wc < 3 AND (seq1 <= seq2) THEN 'v' || wc ELSE 'unknown' END AS old_version
-FROM (SELECT o_custkey::VARCHAR AS client_id, 1 + arg_max(o_orderkey, (o_orderdate, o_orderkey)) % 4 AS wc, 10 AS seq1, 20 AS seq2
-      FROM orders GROUP BY 1)"""
+WITH used AS (SELECT o_custkey::VARCHAR AS client_id, 1 + arg_max(o_orderkey, (o_orderdate, o_orderkey)) % 4 AS wc FROM orders GROUP BY 1)
+SELECT client_id, 'world_check' AS provider_id, 'v' || wc AS old_version FROM used WHERE wc < 3
+UNION ALL SELECT client_id, 'dow_jones', 'unknown' FROM used"""
 
 
 @query(_AFFECTED)
 def affected_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two waiting updates: world_check v3 outdates v1 and v2, dow_jones v1 outdates an unknown version."""
-    first = fx.table(spark, sf_dir, "supplier").agg(F.min("s_suppkey").alias("least"))
-    waiting = F.array(
-        F.struct(F.lit("world_check").alias("provider_id"), F.lit("sanctions").alias("list_type"), F.lit("v3").alias("new_list_version"), F.lit(10).alias("seq")),
-        F.struct(F.lit("dow_jones").alias("provider_id"), F.lit("pep").alias("list_type"), F.lit("v1").alias("new_list_version"), F.lit(20).alias("seq")),
-    )
-    updates = first.select(F.explode(waiting).alias("u")).select("u.*")
-    return reconcile.affected_clients(_order_history(spark, sf_dir), updates).select("client_id", "provider_id", "old_version")
+    """Two new versions: world_check v3 outdates v1 and v2, dow_jones v1 outdates an unknown version."""
+    used = reconcile.used_versions(_order_history(spark, sf_dir))
+    parts = [
+        reconcile.affected_clients(used, provider, version).withColumn("provider_id", F.lit(provider))
+        for provider, version in (("world_check", "v3"), ("dow_jones", "v1"))
+    ]
+    return parts[0].unionByName(parts[1]).select("client_id", "provider_id", "old_version")
 
 
-_DRIFT = (
-    "SELECT d.client_id, d.outcome AS prior_outcome, n.outcome AS new_outcome, n.reason_codes, "
+# The lists change in the order in which their first update arrives: supplier 1 is pep, 2 adverse media, 3 sanctions.
+_ROUNDS = [("dow_jones", "pep", "decision", "decision_p"), ("comply_advantage", "adverse_media", "decision_p", "decision_m"),
+           ("world_check", "sanctions", "decision_m", "decision2")]
+_DRIFT = " UNION ALL ".join(
+    f"SELECT '{provider}' AS provider_id, d.client_id, d.trace_id, d.outcome AS prior_outcome, n.outcome AS new_outcome, n.reason_codes, "
     "CASE WHEN d.outcome = 'CLEAR' AND n.outcome <> 'CLEAR' THEN 'newly_flagged' "
     "WHEN d.outcome <> 'CLEAR' AND n.outcome = 'CLEAR' THEN 'newly_cleared' ELSE 'unchanged' END AS drift "
-    "FROM decision d JOIN decision2 n ON d.k = n.k"
+    f"FROM {before} d JOIN {after} n ON d.k = n.k"
+    for provider, _, before, after in _ROUNDS
 )
+_DECISIONS = ["decision", "decision_p", "decision_m", "decision2"]
 
 
-@query(with_ctes(_DRIFT, "decision", "decision2"))
+@query(with_ctes(f"SELECT provider_id, client_id, prior_outcome, new_outcome, reason_codes, drift FROM ({_DRIFT})", *_DECISIONS))
 def outcome_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = run_for(spark, sf_dir).reconciled
     codes = done.decision.select("screening_id", joined("reason_codes").alias("reason_codes"))
-    return done.drift.join(codes, "screening_id").select("client_id", "prior_outcome", "new_outcome", "reason_codes", "drift")
+    return done.drift.join(codes, "screening_id").select(
+        "provider_id", "client_id", "prior_outcome", "new_outcome", "reason_codes", "drift"
+    )
 
 
 @query(
     with_ctes(
-        "SELECT u.provider_id, u.list_type, CASE WHEN u.provider_id = 'world_check' THEN 'v1' END AS old_version, "
-        "'v2' AS new_version, CASE WHEN u.provider_id = 'world_check' THEN r.n ELSE 0 END::INTEGER AS clients_rescreened, "
-        "CASE WHEN u.provider_id = 'world_check' THEN r.f ELSE 0 END::INTEGER AS newly_flagged, "
-        "CASE WHEN u.provider_id = 'world_check' THEN r.c ELSE 0 END::INTEGER AS newly_cleared "
-        "FROM (SELECT DISTINCT provider_id, list_type FROM upd) u CROSS JOIN (SELECT count(*) AS n, "
-        "count_if(drift = 'newly_flagged') AS f, count_if(drift = 'newly_cleared') AS c FROM drift) r",
-        "decision", "decision2", "upd",
+        "SELECT u.j AS seq, u.provider_id, u.list_type, CASE WHEN u.first THEN 'v1' END AS old_version, 'v2' AS new_version, "
+        "CASE WHEN u.first THEN r.n ELSE 0 END::INTEGER AS clients_rescreened, "
+        "CASE WHEN u.first THEN r.f ELSE 0 END::INTEGER AS newly_flagged, "
+        "CASE WHEN u.first THEN r.c ELSE 0 END::INTEGER AS newly_cleared "
+        "FROM (SELECT *, j = min(j) OVER (PARTITION BY provider_id) AS first FROM upd) u JOIN (SELECT provider_id, count(*) AS n, "
+        "count_if(drift = 'newly_flagged') AS f, count_if(drift = 'newly_cleared') AS c FROM drift GROUP BY 1) r USING (provider_id)",
+        *_DECISIONS, "upd",
         drift=_DRIFT,
     )
 )
 def reconciliation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_for(spark, sf_dir).reconciled.runs.select(
-        "provider_id", "list_type", "old_version", "new_version", "clients_rescreened", "newly_flagged", "newly_cleared"
+    """One run per update event; the ids are traced back to the events they are made of."""
+    run = run_for(spark, sf_dir)
+    order = run.updates.select("seq", reconcile.run_id().alias("id"))
+    return run.reconciled.runs.join(order, "id").select(
+        "seq", "provider_id", "list_type", "old_version", "new_version", "clients_rescreened", "newly_flagged", "newly_cleared"
+    )
+
+
+@query(
+    with_ctes(
+        f"SELECT provider_id, client_id, trace_id, new_outcome AS outcome, reason_codes FROM ({_DRIFT})",
+        *_DECISIONS,
+    )
+)
+def rescreen_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every decision of a re-screening has its audit row; the snapshot is read back."""
+    done = run_for(spark, sf_dir).reconciled
+    shape = "screening_id string, client_id string, outcome string, reason_codes array<string>"
+    told = done.audit.select("decision_id", "trace_id", F.from_json("snapshot", shape).alias("s")).select("decision_id", "trace_id", "s.*")
+    known = done.decision.select("decision_id").join(done.audit.select("decision_id").distinct(), "decision_id")
+    return (
+        told.join(known, "decision_id")
+        .join(done.drift.select("screening_id", "provider_id"), "screening_id")
+        .select("provider_id", "client_id", "trace_id", "outcome", joined("reason_codes").alias("reason_codes"))
     )
 
 
@@ -793,4 +820,5 @@ def scenario_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("change") == "add", "ESCALATE").otherwise("CLEAR").alias("expected_outcome_after"),
     )
     known = expected.join(run.profiles.select("client_id"), "client_id", "left_semi")
-    return reconcile.scenario_check(run.reconciled.drift, known).select("change", "client_id", "new_outcome", "ok")
+    last = run.reconciled.drift.where("provider_id = 'world_check'")
+    return reconcile.scenario_check(last, known).select("change", "client_id", "new_outcome", "ok")

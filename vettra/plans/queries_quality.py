@@ -13,7 +13,7 @@ from vettra.operators import decide, evaluation, lists, metrics, monitors, scree
 from vettra.plans import fixtures as fx
 from vettra.plans.oracle import LIST_TYPE, _sid, with_ctes
 from vettra.plans.pipeline import Run, run_for
-from vettra.plans.queries import _OWN_SCORED, _SUBMITTED, _degraded_state, _submitted, _with_own_entry, joined, query
+from vettra.plans.queries import _DECISIONS, _DRIFT, _OWN_SCORED, _SUBMITTED, _degraded_state, _submitted, _with_own_entry, joined, query
 from vettra.operators import ingest
 from vettra.session import shared_folder, stored
 from vettra.sources import events, files
@@ -144,11 +144,10 @@ UNION ALL SELECT 'decision_outcome', o, (SELECT count(*) FROM decision WHERE out
   FROM (SELECT unnest(['CLEAR', 'FLAG', 'ESCALATE']) AS o)
 UNION ALL SELECT 'match_rate', '', (SELECT count(*) FROM match)::DOUBLE / (SELECT count(*) FROM person)
 UNION ALL SELECT 'dead_letters', '', (SELECT count(*) FROM ({_SUBMITTED}) WHERE no_name OR no_nat)::DOUBLE
-UNION ALL SELECT 'reconciliation_runs', '', 3.0::DOUBLE
-UNION ALL SELECT 'reconciliation_newly_flagged', '', (SELECT count(*) FROM decision d JOIN decision2 n ON d.k = n.k
-  WHERE d.outcome = 'CLEAR' AND n.outcome <> 'CLEAR')::DOUBLE
+UNION ALL SELECT 'reconciliation_runs', '', (SELECT count(*) FROM supplier)::DOUBLE
+UNION ALL SELECT 'reconciliation_newly_flagged', '', (SELECT count(*) FROM ({_DRIFT}) WHERE drift = 'newly_flagged')::DOUBLE
 UNION ALL SELECT 'reconciliation_open', '', 0.0::DOUBLE""",
-        "match", "decision", "decision2",
+        "match", *_DECISIONS,
     )
 )
 def pipeline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
