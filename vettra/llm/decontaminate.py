@@ -16,9 +16,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vettra.llm.common import arrow_map, columns, packed, texts, unpacked
+from vettra.llm.common import arrow_map, columns, packed, stored, texts, unpacked
 
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 100_000  # an automaton of so many words takes some 100 MB
+PASSES = 2  # automata in one stage; what they give is stored before the next
 
 # Every byte that is no word byte becomes a space once letters are lower case.
 _BLANK = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -193,12 +194,20 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
 
         return run
 
-    for automaton in automata(benchmark, window, block_words):
-        state = arrow_map(state, schema, through(automaton))
+    state = passed(state, automata(benchmark, window, block_words), lambda a: (schema, through(a)))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x.end - x.begin)
     return state.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
 
 
+def passed(state: DataFrame, blocks, step) -> DataFrame:
+    """``state`` through each automaton in turn, with at most ``PASSES`` of them loaded in a task."""
+    for i, automaton in enumerate(blocks):
+        if i and i % PASSES == 0:
+            state = stored(state, "decontaminated")
+        state = arrow_map(state, *step(automaton))
+    return state
+
+
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans joined where they touch or overlap, in order."""
     out: list[tuple[int, int]] = []
@@ -246,7 +255,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_
 
         return run
 
-    for automaton in automata(benchmark, window):
-        state = arrow_map(state, state.schema, through(automaton))
+    schema = state.schema
+    state = passed(state, automata(benchmark, window), lambda a: (schema, through(a)))
     kept = state.where(F.col("n_hit") <= max_share * F.col("n_words"))
     return unpacked(kept, docs, F.col("n_hit") > 0)
