@@ -20,6 +20,7 @@ def encoder(path: str) -> PieceEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
+    model._resize_cache(0)  # pieces are kept here; the model's own cache then only costs time
     letters = {b: letter for letter, b in byte_letters().items()}
     space = letters[0x20]
     specials = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items() if x.special}

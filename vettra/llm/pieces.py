@@ -1,7 +1,8 @@
 """Byte-level BPE of whole texts by independent pieces, whatever encodes the single words.
 
-A single space between two characters that are no white space always starts a new pre-split word, and the word pattern
-never looks back. So the text may be cut there, each piece may be encoded by itself, and results may be kept by piece.
+A single space between two characters that are no white space always starts a new pre-split word, a single line end
+there is a word of its own, and the word pattern never looks back. So the text may be cut there, each piece may be
+encoded by itself, and results may be kept by piece.
 """
 
 from __future__ import annotations
@@ -22,11 +23,6 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 LONG = 200  # characters; longer pieces are not worth keeping
 
 
-def pieces(text: str) -> list[str]:
-    """The pieces; each but the first stands for itself after one space that is left out here."""
-    return _CUT.split(text) if _TWO_SPACES.search(text) else text.split(" ")
-
-
 _SHORT = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
@@ -49,7 +45,9 @@ class PieceEncoder:
         short = lambda x: len(x) <= LONG
         self.known = Memo(self._piece, size, short)  # by piece, behind a space
         self.bare = Memo(lambda w: packed(self.word(w)), size // 4, short)  # by word, as it is
+        self.starts = Memo(self._words, size // 4, short)  # by piece, at the beginning of a line
         self.ends = {x: self._words(x) for x in ",.;:!?"}
+        self.line_end = self._words("\n")
 
     def _words(self, text: str) -> bytes:
         known, bare = self.known, self.bare
@@ -65,8 +63,15 @@ class PieceEncoder:
         return self._words(" " + piece)
 
     def _plain(self, text: str) -> bytes:
-        first, *rest = pieces(text)
-        return self._words(first) + b"".join(map(self.known.__getitem__, rest))
+        known, starts = self.known.__getitem__, self.starts
+        if _TWO_SPACES.search(text):
+            first, *rest = _CUT.split(text)
+            return starts[first] + b"".join(map(known, rest))
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(starts[first] + b"".join(map(known, rest)))
+        return self.line_end.join(lines)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
