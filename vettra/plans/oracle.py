@@ -196,7 +196,7 @@ CTES: dict[str, str] = {
     "decision50": _decided("trace50"),
     **{
         key: expression
-        for mark, lists in (("_p", "'pep'"), ("_m", "'pep', 'adverse_media'"))
+        for mark, lists in (("_s", "'sanctions'"), ("_p", "'sanctions', 'pep'"))
         for key, expression in {
             f"entry{mark}": "SELECT entry_id, provider_id, list_type, entity_name, aliases, dob, pep_tier, media_confidence, keys "
             f"FROM entry WHERE list_type NOT IN ({lists}) UNION ALL SELECT * FROM entry2 WHERE list_type IN ({lists})",
@@ -235,7 +235,7 @@ NEEDS = {
     "decision50": ["person", "trace50"],
     **{
         key: needs
-        for mark in ("_p", "_m")
+        for mark in ("_s", "_p")
         for key, needs in {
             f"entry{mark}": ["entry", "entry2"],
             f"cand{mark}": ["person", f"entry{mark}"],

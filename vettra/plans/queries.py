@@ -738,17 +738,16 @@ def affected_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("client_id", "provider_id", "old_version")
 
 
-# The lists change in the order in which their first update arrives: supplier 1 is pep, 2 adverse media, 3 sanctions.
-_ROUNDS = [("dow_jones", "pep", "decision", "decision_p"), ("comply_advantage", "adverse_media", "decision_p", "decision_m"),
-           ("world_check", "sanctions", "decision_m", "decision2")]
+# The lists change in the order in which their first update arrives: supplier 0 is sanctions, 1 pep, 2 adverse media.
+_ROUNDS = [("world_check", "decision", "decision_s"), ("dow_jones", "decision_s", "decision_p"), ("comply_advantage", "decision_p", "decision2")]
 _DRIFT = " UNION ALL ".join(
     f"SELECT '{provider}' AS provider_id, d.client_id, d.trace_id, d.outcome AS prior_outcome, n.outcome AS new_outcome, n.reason_codes, "
     "CASE WHEN d.outcome = 'CLEAR' AND n.outcome <> 'CLEAR' THEN 'newly_flagged' "
     "WHEN d.outcome <> 'CLEAR' AND n.outcome = 'CLEAR' THEN 'newly_cleared' ELSE 'unchanged' END AS drift "
     f"FROM {before} d JOIN {after} n ON d.k = n.k"
-    for provider, _, before, after in _ROUNDS
+    for provider, before, after in _ROUNDS
 )
-_DECISIONS = ["decision", "decision_p", "decision_m", "decision2"]
+_DECISIONS = ["decision", "decision_s", "decision_p", "decision2"]
 
 
 @query(with_ctes(f"SELECT provider_id, client_id, prior_outcome, new_outcome, reason_codes, drift FROM ({_DRIFT})", *_DECISIONS))
@@ -820,5 +819,5 @@ def scenario_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("change") == "add", "ESCALATE").otherwise("CLEAR").alias("expected_outcome_after"),
     )
     known = expected.join(run.profiles.select("client_id"), "client_id", "left_semi")
-    last = run.reconciled.drift.where("provider_id = 'world_check'")
+    last = run.reconciled.drift.where("provider_id = 'comply_advantage'")
     return reconcile.scenario_check(last, known).select("change", "client_id", "new_outcome", "ok")
