@@ -35,6 +35,12 @@ def letter_bag(name: Column) -> Column:
     return F.array_sort(bind(F.array_sort(F.split(name, "")), coded))
 
 
+def repeat_of(code: Column) -> Column:
+    """Which repeat of its letter, from 0, an element of a letter bag stands for."""
+    rank = F.instr(F.lit(RARE_FIRST), F.chr(F.pmod(code, F.lit(256)).cast("bigint")))
+    return ((rank + 65536 - F.shiftright(code, 8)) / 12).cast("int")
+
+
 def letter_masks(name: Column) -> Column:
     """array<bigint> by character code: bit i is set where the name's letter i is that character."""
     bits = F.transform(

@@ -9,9 +9,10 @@ Three facts make it lossless for matches (score at or over the threshold):
   other share at least ``L`` (prefix filter). Joining on hashed ``L``-element combinations of those prefixes finds
   every such pair. Letters are ordered rare first, so common letters seldom take part.
 
-Pairs with equal birth dates join on the date alone while few list names carry that date; a date that many list names
-share (a default like 1 January) uses name combinations within the date instead. So no profile meets more than
-``HOT_DATE`` names for its date, and no key is a whole letter block.
+The number of keys is bounded whatever the length. A pair belongs to the class of its longer name: ``L`` falls from
+three letters to one as names grow, and in very long ones every ``g``-th repeat of a letter stands for ``g`` of them
+(``o`` common letters leave at least ``(o - (g - 1) * alphabet) / g`` of those). A name has keys for its own class and
+for those of longer partners, fewer than 200 in all. Pairs with equal birth dates have the date in their keys.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from vettra.functions import similarity
 from vettra.functions.binding import bind
 from vettra.functions.names import canonical_letters, token_sorted
 
-COMBINATION = 3
-HOT_DATE = 256
+# By class: the longest name, how many letters a key combines, and how many repeats of a letter stand for one (g).
+# From 350 letters on each class is 1.6 times as long as the one before; a partner is at most 1.53 times as long.
+CLASSES = [(3, 1, 1), (22, 3, 1), (48, 2, 1), (350, 1, 1)]
+CLASSES += [(longest, 1, -(-longest // 150)) for longest in (int(350 * 1.6**i) for i in range(1, 21))]
 # Similarity to reach before the birth date is looked at, times 10,000; scores are rounded to four digits.
 UNKNOWN_BASE = round(MATCH_THRESHOLD * 10_000) - 1
 SAME_BASE = round((MATCH_THRESHOLD - SAME_DOB_BOOST) * 10_000) - 1
@@ -50,8 +53,16 @@ def _combinations(bag: Column, size: int, head: list[Column]) -> Column:
     )
 
 
-def signature_keys(bag: Column, per_10000: Column, own_is_profile: bool, *scope: Column) -> Column:
-    """Hashed combinations for every length the partner may have. Both sides build them from the same two lengths.
+def _class_of(length: Column) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(c[0]) for c in CLASSES]), lambda longest: longest < length))
+
+
+def _of_class(values: list[int], k: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), k)
+
+
+def signature_keys(bag: Column, per_10000: Column, *scope: Column) -> Column:
+    """The keys of a name given by its letter bag, for partners of every length.
 
     ``per_10000`` is the similarity to reach, times 10,000; keys of different ``scope`` values never meet.
     """
@@ -63,26 +74,35 @@ def signature_keys(bag: Column, per_10000: Column, own_is_profile: bool, *scope:
         F.xxhash64(*scope).alias("scope"),
     )
 
-    def for_lengths(f: Column) -> Column:
-        shortest = F.ceil(f.own * f.t / (20000 - f.t)).cast("int")
+    def for_classes(f: Column) -> Column:
         longest = F.floor(f.own * (20000 - f.t) / f.t).cast("int")
+        nearest = F.ceil(f.own * f.t / (20000 - f.t)).cast("int")
+        mine = _class_of(f.own)
 
-        def for_length(other: Column) -> Column:
-            def combos(needed: Column) -> Column:
-                head = [f.scope, f.own, other] if own_is_profile else [f.scope, other, f.own]
-                size = F.when(needed >= COMBINATION, COMBINATION).otherwise(1)
-                prefix = F.slice(f.bag, 1, F.greatest(f.own - needed + size, F.lit(0)))
-                return F.when(needed > F.least(f.own, other), none).otherwise(
-                    F.when(needed >= COMBINATION, _combinations(prefix, COMBINATION, head)).otherwise(
-                        _combinations(prefix, 1, head)
-                    )
-                )
+        def for_class(k: Column) -> Column:
+            shortest = _of_class([1, *(c[0] + 1 for c in CLASSES)], k)
+            needed = _needed(f.t, f.own + F.when(k == mine, nearest).otherwise(shortest))
+            every = _of_class([c[2] for c in CLASSES], k)
+            shared = F.floor((needed - (every - 1) * len(similarity.RARE_FIRST)) / every).cast("int")
+            letters = F.when(every == 1, f.bag).otherwise(
+                F.filter(f.bag, lambda x: (similarity.repeat_of(x) + 1) % every == 0)
+            )
 
-            return bind(_needed(f.t, f.own + other), combos)
+            def keys(c: Column) -> Column:
+                def of(size: int) -> Column:
+                    prefix = F.slice(c.letters, 1, F.greatest(F.size(c.letters) - c.shared + size, F.lit(0)))
+                    return _combinations(prefix, size, [f.scope, k])
 
-        return F.flatten(F.transform(F.sequence(shortest, longest), for_length))
+                found = F.when(c.size == 3, of(3)).when(c.size == 2, of(2)).otherwise(of(1))
+                return F.when(c.needed > f.own, none).otherwise(found)
 
-    return F.when(F.size(bag) > 0, bind(facts, for_lengths)).otherwise(none)
+            size = _of_class([c[1] for c in CLASSES], k)
+            facts = F.struct(letters.alias("letters"), shared.alias("shared"), needed.alias("needed"), size.alias("size"))
+            return bind(facts, keys)
+
+        return F.flatten(F.transform(F.sequence(mine, _class_of(longest)), for_class))
+
+    return F.when(F.size(bag) > 0, bind(facts, for_classes)).otherwise(none)
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
@@ -164,27 +184,16 @@ def _met(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
     )
 
 
-def same_date_pairs(people: DataFrame, names: DataFrame, hot_date: int = HOT_DATE) -> DataFrame:
+def same_date_pairs(people: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs with equal birth dates, per distinct (canonical_name, dob_iso) of :func:`distinct_people`."""
-    dated = names.where("entry_dob is not null")
-    # At most (list names / hot_date) dates: the split is decided on the list side only.
-    hot = (
-        dated.groupBy("entry_dob")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > hot_date)
-        .select(F.col("entry_dob").alias("hot_dob"))
-    )
 
-    def keyed(rows: DataFrame, bag: str, dob: str, is_profile: bool) -> DataFrame:
-        combos = F.array_distinct(signature_keys(F.col(bag), F.lit(SAME_BASE), is_profile, F.col(dob)))
-        keys = F.when(F.col("hot_dob").isNull(), F.array(F.xxhash64(F.col(dob)))).otherwise(combos)
-        flagged = rows.join(hot, F.col(dob) == F.col("hot_dob"), "left")
-        return flagged.withColumn("key", F.explode(keys)).drop("hot_dob")
+    def keyed(rows: DataFrame, bag: str, dob: str) -> DataFrame:
+        return rows.withColumn("key", F.explode(F.array_distinct(signature_keys(F.col(bag), F.lit(SAME_BASE), F.col(dob)))))
 
     # Only what finds and bounds a pair travels with the keys; the letter masks join the survivors.
-    left = keyed(people.where("dob_iso is not null"), "bag", "dob_iso", True)
-    slim = spread(dated.select("entry_id", "pos", "entry_cname", "entry_dob", "entry_bag"))
-    return _met(left, keyed(slim, "entry_bag", "entry_dob", False), True)
+    left = keyed(people.where("dob_iso is not null"), "bag", "dob_iso")
+    slim = spread(names.where("entry_dob is not null").select("entry_id", "pos", "entry_cname", "entry_dob", "entry_bag"))
+    return _met(left, keyed(slim, "entry_bag", "entry_dob"), True)
 
 
 def undated_pairs(people: DataFrame, names: DataFrame) -> DataFrame:
@@ -200,16 +209,16 @@ def undated_pairs(people: DataFrame, names: DataFrame) -> DataFrame:
     scope = F.when(F.col("entry_dob").isNull(), OPEN).otherwise(BLANK).alias("entry_scope")
     listed = spread(names.select("entry_id", "pos", "entry_cname", "entry_bag", scope))
 
-    def keyed(rows: DataFrame, bag: str, scope: str, is_profile: bool) -> DataFrame:
-        keys = signature_keys(F.col(bag), F.lit(UNKNOWN_BASE), is_profile, F.col(scope))
+    def keyed(rows: DataFrame, bag: str, scope: str) -> DataFrame:
+        keys = signature_keys(F.col(bag), F.lit(UNKNOWN_BASE), F.col(scope))
         return rows.withColumn("key", F.explode(F.array_distinct(keys)))
 
-    left = keyed(asked, "bag", "scope", True)
-    right = keyed(listed, "entry_bag", "entry_scope", False)
+    left = keyed(asked, "bag", "scope")
+    right = keyed(listed, "entry_bag", "entry_scope")
     return _met(left, right, False)
 
 
-def all_matches(profiles: DataFrame, names: DataFrame, hot_date: int = HOT_DATE) -> DataFrame:
+def all_matches(profiles: DataFrame, names: DataFrame) -> DataFrame:
     """Every (profile, entry) at or over the threshold that shares a first letter, joined back to the profile rows.
 
     ``profiles`` needs canonical_name and dob_iso; all its columns are kept.
@@ -220,7 +229,7 @@ def all_matches(profiles: DataFrame, names: DataFrame, hot_date: int = HOT_DATE)
     def found(pairs: DataFrame, same: bool, *keys: str) -> DataFrame:
         return best_names(scored(pairs, names, F.lit(same)), *keys).where(shares_letter).drop("entry_letters")
 
-    on_date = found(same_date_pairs(people, names, hot_date), True, "canonical_name", "dob_iso")
+    on_date = found(same_date_pairs(people, names), True, "canonical_name", "dob_iso")
     on_name = found(undated_pairs(people, names), False, "canonical_name", "scope")
     scopes = F.when(F.col("dob_iso").isNull(), F.array(F.lit(OPEN), F.lit(BLANK))).otherwise(F.array(F.lit(OPEN)))
     columns = [*profiles.columns, "entry_id", "matched_name", "score", "dob_match"]
