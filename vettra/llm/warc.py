@@ -105,10 +105,18 @@ def parsed(data: bytes, offset: int) -> tuple[Record, int]:
     top, found, rest = data.partition(b"\r\n\r\n")
     if not found:
         raise Bad("no end of header")
-    pairs = [line.partition(b":") for line in top.split(b"\r\n")[1:]]
+    try:
+        lines = top.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError:
+        raise Bad("header is no text") from None
+    if lines[0] not in ("WARC/1.0", "WARC/1.1"):
+        raise Bad("no version line")
+    if any(c < " " and c != "\t" for line in lines for c in line):
+        raise Bad("header is no text")
+    pairs = [line.partition(":") for line in lines[1:]]
     if len({k.lower() for k, _, _ in pairs}) < len(pairs) or not all(colon for _, colon, _ in pairs):
         raise Bad("header cut short")  # it runs into the next record's
-    head = {k.decode("latin-1").strip().lower(): v.decode("utf-8", "replace").strip() for k, _, v in pairs}
+    head = {k.strip().lower(): v.strip() for k, _, v in pairs}
     length = head.get("content-length", "")
     if not length.isdecimal() or "warc-type" not in head:
         raise Bad("no length or type")
