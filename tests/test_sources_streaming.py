@@ -96,6 +96,9 @@ def test_streams_end_to_end(spark, folder):
     batch = run.decision.select("client_id", "outcome", "reason_codes")
     assert batch.exceptAll(decided.select("client_id", "outcome", "reason_codes")).count() == 0
     assert work.table("dead_letter", schemas.DEAD_LETTER).select("payload").distinct().count() == 1
+    sent_on = spark.read.parquet(f"{root}/event_profile_normalized"), spark.read.parquet(f"{root}/event_decision_made")
+    assert [e.count() for e in sent_on] == [150, 150]
+    assert work.table("dead_letter_screen", schemas.DEAD_LETTER).count() == work.table("dead_letter_decide", schemas.DEAD_LETTER).count() == 0
     log = work.table("stage_log_decide", schemas.STAGE_LOG)
     assert log.count() == 150 and log.where("status <> 'ok'").count() == 0
 
