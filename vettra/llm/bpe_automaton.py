@@ -66,7 +66,7 @@ class Automaton:
             states += 1
         self.states = states
         self.owner = {state: token for token, state in enumerate(self.target)}
-        self.arcs = Memo(self._arc, 1_000_000)
+        self.arcs = Memo(self._arc, 250_000)
 
     def _arc(self, key: int) -> bool:
         """Whether the state ``key >> 32`` has the arc ``key & 0xFFFFFFFF``."""

@@ -37,7 +37,7 @@ class PieceEncoder:
     pieces are kept in a memo of bounded size.
     """
 
-    def __init__(self, word: Callable[[str], list[int]], specials: dict[str, int], size: int = 450_000):
+    def __init__(self, word: Callable[[str], list[int]], specials: dict[str, int], size: int = 350_000):
         self.word, self.specials = word, {text: packed([i]) for text, i in specials.items()}
         self.split = regex.compile(WORDS).findall
         marks = "|".join(map(re.escape, sorted(specials, key=len, reverse=True)))
