@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from vettra.constants import PIPELINE_STAGES
 from vettra.functions.fields import message_key
-from vettra.operators import decide, evaluation, lists, metrics, monitors, screen, stagelog, validate
+from vettra.operators import decide, evaluation, lists, metrics, monitors, normalize, screen, stagelog, validate
 from vettra.plans import fixtures as fx
 from vettra.plans.oracle import LIST_TYPE, _sid, with_ctes
 from vettra.plans.pipeline import Run, run_for
 from vettra.plans.queries import _DECISIONS, _DRIFT, _OWN_SCORED, _SUBMITTED, _degraded_state, _submitted, _with_own_entry, joined, query
 from vettra.operators import ingest
 from vettra.session import shared_folder, stored
-from vettra.sources import events, files
+from vettra.sources import events, files, tables
 from vettra.streaming import jobs
 
 
@@ -436,7 +436,86 @@ def profile_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.profile_set_violations(profiles, fx.entries(spark, sf_dir), _MIX).select("check", "locator")
 
 
+@query("SELECT 'golden_norm_drift' AS \"check\", 'cli_' || c_custkey AS locator FROM customer WHERE c_custkey % 10 = 0")
+def golden_norm_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions with the form they should take; every tenth expects another name."""
+    raw = fx.submissions(spark, sf_dir)
+    given = F.struct(*ingest.PAYLOAD).alias("input")
+    known = normalize.normalize(raw.select("k", "client_id", given, *ingest.PAYLOAD))
+    expected = normalize.golden_expected().withField(
+        "canonical_name", F.when(F.col("k") % 10 == 0, "somebody else").otherwise(F.col("canonical_name"))
+    )
+    golden = known.select(F.col("client_id").alias("locator"), "input", expected.alias("expected"))
+    return validate.golden_norm_violations(golden).select("check", "locator")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{check}' AS \"check\", o_orderkey::VARCHAR AS locator FROM orders WHERE o_orderkey % {n} = 0"
+        for check, n in (
+            ("golden_match_empty_name", 7), ("golden_match_label", 11), ("golden_match_min_score", 13), ("golden_match_dob", 17),
+            ("golden_decision_outcome", 5), ("golden_decision_codes", 9),
+        )
+    )
+)
+def golden_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled pairs and decisions, one per order, with a fault each for some orders."""
+    o = F.col("o_orderkey")
+
+    def fault(n: int, bad, good) -> Column:
+        return F.when(o % n == 0, bad).otherwise(good)
+
+    rows = fx.table(spark, sf_dir, "orders").select(
+        o.cast("string").alias("locator"),
+        fault(7, " ", "ann lee").alias("profile_name"),
+        F.lit("ann li").alias("candidate_name"),
+        fault(11, F.lit(None).cast("boolean"), True).alias("expected_match"),
+        fault(13, 1.5, 0.82).alias("min_score"),
+        fault(17, "1999-02-30", "1999-02-03").alias("dob_profile"),
+        F.lit(None).cast("string").alias("dob_candidate"),
+        F.struct(
+            fault(5, "MAYBE", "CLEAR").alias("outcome"),
+            fault(9, F.array().cast("array<string>"), F.array(F.lit("NO_MATCH"))).alias("reason_codes"),
+        ).alias("expected"),
+    )
+    both = validate.all_violations(validate.golden_match_violations(rows), validate.golden_decision_violations(rows))
+    return both.select("check", "locator")
+
+
+@query(
+    with_ctes(
+        f"SELECT \"check\", breach_count FROM ({_ALL_CHECKS}) WHERE NOT passed", "person", "match", "decision", "entry", "ename"
+    )
+)
+def breach_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the breach sink holds after the same run was written twice."""
+    results = stored(monitors.run_all(spark, faulty_tables(run_for(spark, sf_dir))), "dq_results")
+    root = f"{shared_folder(spark)}/breaches-{uuid.uuid4().hex}"
+    for _ in range(2):
+        tables.write_breaches(monitors.breach_records(results), root, "first")
+    return spark.read.schema("`check` string, breach_count bigint").json(f"{root}/dq_breach").select("check", "breach_count")
+
+
 # ------------------------------------------------------------------------------------------------ sources and streams
+@query(
+    with_ctes(
+        "SELECT entry_id, list_type AS served_as, entity_name, array_to_string(aliases, ',') AS aliases, dob::VARCHAR AS dob_iso, "
+        "pep_tier FROM entry",
+        "entry",
+    )
+)
+def watchlist_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists written as one JSON file each and read back with their declared schema."""
+    root = f"{shared_folder(spark)}/lists-{uuid.uuid4().hex}"
+    entries = fx.entries(spark, sf_dir).drop("j")
+    for list_type, name in files.LIST_FILES.items():
+        entries.where(F.col("list_type") == list_type).write.json(f"{root}/{name}")
+    return files.read_watchlists(spark, root).select(
+        "entry_id", "served_as", "entity_name", joined("aliases").alias("aliases"), "dob_iso", "risk_payload.pep_tier"
+    )
+
+
+
 _FINGERPRINT = (
     "SELECT 'customer' AS dataset, count(*)::BIGINT AS rows, sum(('0x' || substr(md5(c_acctbal || '|' || c_custkey || '|' || "
     "c_mktsegment || '|' || c_name || '|' || c_nationkey), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM customer"
