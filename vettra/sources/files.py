@@ -23,8 +23,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_watchlist(spark: SparkSession, folder: str, list_type: str) -> DataFrame:
-    """One list file; ``served_as`` tells which list the file belongs to, whatever its rows claim."""
-    rows = read_jsonl(spark, f"{folder}/{LIST_FILES[list_type]}", schemas.WATCHLIST)
+    """One list file; ``served_as`` tells which list the file belongs to, whatever its rows claim.
+
+    ``_corrupt_record`` holds the text of a row with a value of another type than declared, such as aliases that are no
+    list; its other values are read.
+    """
+    rows = read_jsonl(spark, f"{folder}/{LIST_FILES[list_type]}", f"{schemas.WATCHLIST}, _corrupt_record string")
     return rows.where("coalesce(entry_id, entity_name, provider_id) is not null").withColumn(
         "served_as", F.lit(list_type)
     )
@@ -49,6 +53,15 @@ def missing_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, schemas.VIOLATION)
 
 
+def missing_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A violation when there is no manifest to hold the lists against."""
+    try:
+        spark.read.schema("value string").text(path).schema  # noqa: B018
+    except AnalysisException:
+        return spark.createDataFrame([("missing_manifest", path.rpartition("/")[2], "nothing says what the lists hold")], schemas.VIOLATION)
+    return spark.createDataFrame([], schemas.VIOLATION)
+
+
 def read_golden(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A golden set with a ``locator`` per row; ``kind`` is normalization, matching or decisions."""
     schema = {
