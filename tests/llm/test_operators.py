@@ -159,6 +159,24 @@ def test_depleted_documents_go_but_the_first_holder_stays(spark):
     assert quality_rules.judge(copies, max_docs=10).where("NOT kept").count() == 0  # one text, however often
 
 
+def test_common_lines_by_share_of_a_host(spark):
+    """Production parameters: a tenth of the texts share one line, 4 % another, on hosts of 100 and of 400 documents."""
+    rng, rows = random.Random(6), []
+    for host, n in (("small", 100), ("large", 400), (None, 100)):
+        for i in range(n):
+            lines = [prose(rng, 60, 5000), *["All Rights reserved"] * (i % 10 == 0), *["les."] * (i % 25 == 1)]
+            rows.append((len(rows), "\n".join(lines), "en", host, 1))
+        rows += [(len(rows) + i, rows[-1][1] + "\nles.", "en", host, 1) for i in range(50)]  # copies of one text
+    df = spark.createDataFrame(rows, SCHEMA)
+    holders = [i for i, t, *_ in rows if "reserved" in t]
+    firsts = {min(i for i in holders if rows[i][3] == host) for host in ("small", "large", None)}
+    judged = {r.doc_id: (r.n_common_lines, r.n_removed) for r in quality_rules.judge(df).collect()}
+    assert judged == {i: (1, 3) if i in holders and i not in firsts else (0, 0) for i in range(len(rows))}
+    clean = {r.doc_id: r.text for r in quality_rules.cleaned(df).collect()}
+    assert {i for i, t in clean.items() if "reserved" in t} == firsts
+    assert sum("les." in t for t in clean.values()) == sum("les." in t for _, t, *_ in rows)
+
+
 def test_suffix_automaton():
     rng = random.Random(3)
     for _ in range(3000):

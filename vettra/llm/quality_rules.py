@@ -2,11 +2,13 @@
 
 Lines are normalised (bytes lower-cased, white space runs as one space) and hashed. For each host and line hash the
 distinct documents are counted; documents with equal whole texts count once, so a page copied a thousand times does not
-make its own lines common. A line above the limit is removed from every document of that host but the first that holds
-it. A document that keeps too small a share of its words is rejected as depleted.
+make its own lines common. A line above the limit, a share of the host's distinct texts but never fewer than a few texts,
+is removed from every document of that host but the first that holds it. A document that keeps too small a share of its
+words is rejected as depleted.
 
 Line counts are aggregated before each shuffle (distinct line and text first, then counts), so a line that a third of
-all documents hold is a few rows per task. Lines above the limit are joined back by host and hash.
+all documents hold is a few rows per task. Only lines above the least count meet their host's number of texts, one row a
+host; those above the limit are joined back by host and hash.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from vettra.llm.common import arrow_map, columns, stored
 SYMBOLS = b"#*$%&|<>"
 ASCII_SPACE = b" \t\n\v\f\r"
 
+# A tenth of a host's texts is boilerplate at any table size; its ordinary short lines stay below 5 % (sf0.1).
+MAX_DOCS, MAX_SHARE = 5, 0.05
+
 FIGURES = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "base_failed boolean"
@@ -79,25 +84,29 @@ def measured(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, HELD, run)
 
 
-def common_lines(held: DataFrame, max_docs: int) -> DataFrame:
-    """(host, line, first_doc, n_docs): lines that more than ``max_docs`` distinct texts of a host hold."""
+def common_lines(held: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    """(host, line, first_doc, n_docs): lines that more than ``max_docs`` and ``max_share`` of a host's distinct texts hold."""
     lines = held.select("doc_id", F.coalesce("host", F.lit("")).alias("host"), "text_hash", F.explode("lines.line").alias("line"))
     by_text = lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("doc_id"))
     by_line = by_text.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    return by_line.where(F.col("n_docs") > max_docs)
+    texts = held.select(F.coalesce("host", F.lit("")).alias("host"), "text_hash").distinct()
+    hosts = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
+    often = by_line.where(F.col("n_docs") > max_docs).join(hosts, "host")
+    return often.where(F.col("n_docs") > max_share * F.col("n_texts")).drop("n_texts")
 
 
-def judge(docs: DataFrame, max_docs: int = 100, min_left: float = 0.3) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = 0.3, max_share: float = MAX_SHARE) -> DataFrame:
     """One row per document: figures, ``n_removed`` words in removed lines, ``n_common_lines`` and ``kept``.
 
-    ``max_docs``: distinct texts of a host that may hold a line. ``min_left``: share of words that must be left.
+    A line may be held by ``max_share`` of a host's distinct texts, and by ``max_docs`` of them however few there are.
+    ``min_left``: share of words that must be left.
     A document is kept if its figures pass and it is not depleted. Null and empty texts have no words and fail. A null
     ``source`` counts as the host ``""``. Repeated rows are judged alike; rows with a null ``doc_id`` are judged too.
     """
     held = stored(measured(docs).withColumn("row", F.monotonically_increasing_id()), "quality-lines")
     lines = held.select("row", "doc_id", F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("x"))
     lines = lines.select("row", "doc_id", "host", "x.line", "x.words")
-    hit = lines.join(common_lines(held, max_docs), ["host", "line"])
+    hit = lines.join(common_lines(held, max_docs, max_share), ["host", "line"])
     hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     removed = hit.groupBy("row").agg(F.sum("words").alias("n_removed"), F.count("*").alias("n_common_lines"))
     rows = held.drop("lines", "text_hash", "host").join(removed, "row", "left")
@@ -107,7 +116,7 @@ def judge(docs: DataFrame, max_docs: int = 100, min_left: float = 0.3) -> DataFr
     )
 
 
-def cleaned(docs: DataFrame, max_docs: int = 100, min_left: float = 0.3) -> DataFrame:
+def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = 0.3, max_share: float = MAX_SHARE) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns, without their removed lines.
 
     ``text`` loses whole lines; ``n_chars``, if there, is counted anew where it changed. Repeated rows, also of one
@@ -117,7 +126,7 @@ def cleaned(docs: DataFrame, max_docs: int = 100, min_left: float = 0.3) -> Data
     rows = stored(rows, "quality-docs")
     held = stored(measured(rows.select(F.col("row").alias("doc_id"), "doc.source", "doc.text")), "quality-lines")
     lines = held.select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("x"))
-    hit = lines.select("doc_id", "host", "x.line", "x.words").join(common_lines(held, max_docs), ["host", "line"])
+    hit = lines.select("doc_id", "host", "x.line", "x.words").join(common_lines(held, max_docs, max_share), ["host", "line"])
     hit = hit.where(F.col("doc_id") != F.col("first_doc"))
     removed = hit.groupBy("doc_id").agg(F.sum("words").alias("n_removed"), F.collect_set("line").alias("gone"))
     left = F.col("n_words") - F.coalesce("n_removed", F.lit(0))
