@@ -315,6 +315,23 @@ def test_checksums_and_context(spark):
     assert scores[0] == 1.0 > scores[1]
 
 
+def test_ibans_before_capitals_and_digits(spark):
+    de, gb, other = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "AA68 1234 5678 9012 3456"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    texts = {
+        f"IBAN {de} Please pay": [de], f"{gb} Thanks": [gb], f"IBAN {spaced} BIC COBADEFF.": [spaced], f"{spaced} 12 EUR": [spaced],
+        f"{de} {gb} {spaced}": [de, gb, spaced], f"AB12 REF 1234 5678 IBAN {gb} X": [gb], f"é😀 {de}": [de], f"{other} Please": [other],
+        "NO93 8601 1117 947 A": ["NO93 8601 1117 947"], f"{de}X": [], f"x{de}": [], "DE88370400440532013000 Please": [],
+    }
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in pii.find(df).collect():
+        text = rows[r.doc_id][1]
+        assert [text[x.begin : x.end] for x in r.iban] == texts[text], text
+    for r in pii.redacted(df).collect():
+        assert r.text.count("<IBAN>") == len(texts[rows[r.doc_id][1]])
+
+
 @pytest.mark.parametrize("long_text", ["1" * 200_000, "1-" * 100_000, "1." * 100_000, "a" * 200_000, "a.b@c" + ".d" * 50_000, "AB12" + "A1" * 50_000])
 def test_personal_data_in_very_long_texts(spark, long_text):
     assert pii.find(spark.createDataFrame([(1, long_text)], "doc_id bigint, text string")).count() == 1
