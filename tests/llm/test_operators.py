@@ -315,6 +315,24 @@ def test_checksums_and_context(spark):
     assert scores[0] == 1.0 > scores[1]
 
 
+def test_context_on_both_sides_and_across_proposals(spark):
+    far = "x" * 40
+    texts = {
+        "SSN: 123-45-6789, 234-56-7890": 2, "123-45-6789 is my SSN": 1, "SSN 000-45-6789 or 123-45-6789": 1,
+        "123-45-6789, 234-56-7890 are SSNs": 2, f"ssn {far} 123-45-6789 {far} ssn": 0, "123-45-6789, 234-56-7890": 0,
+        "my ssn " + "123-45-6789 " * 5: 4, "123-45-6789 " * 5 + "ssn": 4, "é😀 ssn 123-45-6789": 1,
+        "ssn 123-45-6789 " * 600: 600, None: 0,
+    }
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in pii.find(df).collect():
+        text = rows[r.doc_id][1]
+        assert len(r.ssn) == texts[text], text
+        assert all(text[x.begin : x.end].count("-") == 2 and x.score == 0.6 for x in r.ssn)
+    for r in pii.redacted(df).collect():
+        assert (r.text or "").count("<SSN>") == texts[rows[r.doc_id][1]]
+
+
 def test_ibans_before_capitals_and_digits(spark):
     de, gb, other = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "AA68 1234 5678 9012 3456"
     spaced = "DE89 3704 0044 0532 0130 00"

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from vettra.llm.common import columns, packed, unpacked
 
 LOCAL = "[A-Za-z0-9._%+-]"
-NEAR = 40  # characters before a span that may hold context words
+NEAR = 40  # characters before and after a span that may hold context words
 
 
 def luhn(match: Column) -> Column:
@@ -60,7 +60,7 @@ class Kind:
     passes: Callable[[Column], Column]
     hint: str  # a cheap test that every text with a proposal passes
     score: float
-    context: str  # words that raise the score when they stand before the span
+    context: str  # words that raise the score when they stand near the span
     base: bool = True
 
 
@@ -149,16 +149,44 @@ def _proposals(text: Column, kind: Kind) -> Column:
     return F.transform(gaps, lambda gap, i: F.struct(gap.alias("gap"), F.get(found, i).alias("match")))
 
 
-def _score(kind: Kind, gap: Column) -> Column:
-    near = F.lower(F.substring(gap, -NEAR, NEAR))
-    score = F.lit(kind.score) + F.when(near.rlike(kind.context), RAISE).otherwise(0.0) - F.when(near.rlike(AGAINST), LOWER).otherwise(0.0)
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 2)
+def _near(pairs: Column, at: Column) -> Column:
+    """The ``NEAR`` characters on either side of the proposal in pair ``at``, by position, other proposals included."""
+    empty = F.lit("")
 
+    def part(x: Column, ahead: bool) -> Column:  # enough of a gap or a proposal, from the side of the span
+        return F.coalesce(F.substring(x, 1 if ahead else -NEAR, NEAR), empty)
 
-def _accepted(kind: Kind, pair: Column) -> Column:
+    # Of any kind, two proposals with the gap between them have two characters or more.
+    steps = F.sequence(F.lit(1), F.lit(NEAR // 2))
+
+    def back(seen: Column, j: Column) -> Column:
+        pair = F.get(pairs, at - j)
+        more = F.concat(part(pair.gap, False), part(pair.match, False), seen)
+        return F.when((F.length(seen) < NEAR) & (j <= at), more).otherwise(seen)
+
+    def on(seen: Column, j: Column) -> Column:
+        pair = F.get(pairs, at + j)
+        more = F.concat(seen, part(pair.gap, True), part(pair.match, True))
+        return F.when((F.length(seen) < NEAR) & pair.isNotNull(), more).otherwise(seen)
+
+    before = F.aggregate(steps, part(F.get(pairs, at).gap, False), back)
+    after = F.aggregate(steps, empty, on)
+    return F.lower(F.concat(F.substring(before, -NEAR, NEAR), F.lit("\n"), F.substring(after, 1, NEAR)))
+
+
+def _score(kind: Kind, pairs: Column, at: Column) -> Column:
+    near = F.array(_near(pairs, at))  # worked out once
+    told = F.transform(
+        near,
+        lambda x: F.lit(kind.score) + F.when(x.rlike(kind.context), RAISE).otherwise(0.0) - F.when(x.rlike(AGAINST), LOWER).otherwise(0.0),
+    )
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.get(told, F.lit(0)))), 2)
+
+
+def _accepted(kind: Kind, pairs: Column, at: Column, match: Column) -> Column:
     """Base kinds stay whatever their score; the others need a score of ``LEAST``."""
-    fine = F.coalesce(kind.passes(pair.match), F.lit(False)) & pair.match.isNotNull()
-    return fine if kind.base else fine & (_score(kind, pair.gap) >= LEAST)
+    fine = F.coalesce(kind.passes(match), F.lit(False)) & match.isNotNull()
+    return fine if kind.base else F.when(fine, _score(kind, pairs, at) >= LEAST).otherwise(False)
 
 
 BLOCK = 256
@@ -176,14 +204,15 @@ def kind_spans(pairs: Column, kind: Kind) -> Column:
         begin = state.at + F.length(pair.gap)
         end = begin + F.coalesce(F.length(pair.match), F.lit(0))
         span = F.struct(
-            F.lit(kind.name).alias("kind"), begin.alias("begin"), end.alias("end"), _score(kind, pair.gap).alias("score")
+            F.lit(kind.name).alias("kind"), begin.alias("begin"), end.alias("end"), _score(kind, pairs, state.number).alias("score")
         )
-        out = F.when(_accepted(kind, pair), F.concat(state.out, F.array(span))).otherwise(state.out)
-        return F.struct(end.alias("at"), out.cast(SPAN).alias("out"))
+        out = F.when(_accepted(kind, pairs, state.number, pair.match), F.concat(state.out, F.array(span))).otherwise(state.out)
+        return F.struct(end.alias("at"), (state.number + 1).alias("number"), out.cast(SPAN).alias("out"))
 
     def block(state: Column, number: Column) -> Column:
         some = F.slice(pairs, number * BLOCK + 1, F.lit(BLOCK))
-        done = F.aggregate(some, F.struct(state.at.alias("at"), empty.alias("out")), step)
+        first = F.struct(state.at.alias("at"), (number * BLOCK).alias("number"), empty.alias("out"))
+        done = F.aggregate(some, first, step)
         return F.struct(done.at.alias("at"), F.concat(state.blocks, F.array(done.out)).alias("blocks"))
 
     # Appending copies the array, so spans are gathered by block: texts with very many stay near linear.
@@ -210,11 +239,15 @@ def listed(kinds: list[str]) -> Column:
     return F.array_join(F.transform(every, lambda s: F.concat_ws(":", s.kind, s.begin.cast("string"), s.end.cast("string"))), ",")
 
 
-def _without(text: Column, kind: Kind) -> Column:
-    def shown(pair: Column) -> Column:
-        return F.concat(pair.gap, F.when(_accepted(kind, pair), f"<{kind.name.upper()}>").otherwise(F.coalesce(pair.match, F.lit(""))))
+def _without(text: Column, pairs: Column, kind: Kind) -> Column:
+    """``pairs``, the ``_proposals`` in ``text``, must be a column of the input: each is read again for its neighbours."""
+
+    def shown(pair: Column, at: Column) -> Column:
+        return F.concat(
+            pair.gap, F.when(_accepted(kind, pairs, at, pair.match), f"<{kind.name.upper()}>").otherwise(F.coalesce(pair.match, F.lit("")))
+        )
 
-    return F.when(text.rlike(kind.hint), F.array_join(F.transform(_proposals(text, kind), shown), "")).otherwise(text)
+    return F.when(F.size(pairs) > 1, F.array_join(F.transform(pairs, shown), "")).otherwise(text)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -224,5 +257,11 @@ def redacted(docs: DataFrame) -> DataFrame:
     pass untouched.
     """
     rows = packed(docs).withColumn("old", F.col("text"))
-    rows = reduce(lambda df, kind: df.withColumn("text", _without(F.col("text"), kind)), KINDS, rows)
+    text, pairs = F.col("text"), F.col("pairs")
+
+    def without(df: DataFrame, kind: Kind) -> DataFrame:
+        found = df.withColumn("pairs", F.when(text.rlike(kind.hint), _proposals(text, kind)))
+        return found.withColumn("text", _without(text, pairs, kind)).drop("pairs")
+
+    rows = reduce(without, KINDS, rows)
     return unpacked(rows, docs, ~F.col("text").eqNullSafe(F.col("old")))
