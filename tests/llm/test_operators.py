@@ -206,6 +206,27 @@ def test_decontamination(spark, docs, empty, block_words):
     assert decontaminate.matched(empty, benchmark).count() == decontaminate.decontaminated(empty, benchmark).count() == 0
 
 
+def test_items_without_id_and_passages_joined_by_a_cut(spark):
+    rng = random.Random(12)
+    own = [prose(rng, 30, 5000) for _ in range(6)]
+    a, b, c = ([f"{x}{i}" for i in range(10)] for x in "abc")
+    texts = [
+        " ".join([own[0], *b[:5], *a, *b[5:], own[1]]), " ".join([own[2], *a[:5], *b, *a[5:], own[3]]),
+        " ".join([own[4], *c, own[5]]), own[0], None,
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+    items = [(1, " ".join(a)), (2, " ".join(b)), (None, " ".join(c)), (None, None)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.matched(df, benchmark).collect()}
+    assert found == {0: (10, [1]), 1: (10, [2]), 2: (10, []), 3: (0, []), 4: (0, [])}
+    want = {0: f"{own[0]} {own[1]}", 1: f"{own[2]} {own[3]}", 2: f"{own[4]} {own[5]}", 3: own[0], 4: ""}
+    for block_words in (100_000, 8):
+        blocks = [x.value.items for x in decontaminate.automata(benchmark, 10, block_words)]
+        assert sum(any({1, 2} & x for x in items.values()) for items in blocks) == (1 if block_words == 100_000 else 2)
+        clean = decontaminate.decontaminated(df, benchmark, block_words=block_words)
+        assert {r.doc_id: " ".join((r.text or "").split()) for r in clean.collect()} == want
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_near_duplicates(spark, docs, empty, block, monkeypatch):
     monkeypatch.setattr(hamming_dedup, "BLOCK", block)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ class SuffixAutomaton:
     next: list[dict[bytes, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    items: dict[int, set[int]] = field(default_factory=dict)  # by the state of a whole window
-    short: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # (length, item) of shorter items
+    items: dict[int, set[int | None]] = field(default_factory=dict)  # by the state of a whole window
+    short: dict[int, list[tuple[int, int | None]]] = field(default_factory=dict)  # (length, item) of shorter items
 
     def _state(self, like: int | None, length: int, link: int) -> int:
         self.next.append({} if like is None else dict(self.next[like]))
@@ -71,7 +72,7 @@ class SuffixAutomaton:
             self.link[new] = there if self.length[there] == self.length[last] + 1 else self._clone(there, last, word)
         return new
 
-    def build(self, items: list[tuple[int, list[bytes]]]) -> SuffixAutomaton:
+    def build(self, items: list[tuple[int | None, list[bytes]]]) -> SuffixAutomaton:
         for _, run in items:
             last = 0
             for word in run:
@@ -104,10 +105,10 @@ class SuffixAutomaton:
         return self
 
     def hits(self, run: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Spans (first word, word behind the last), joined where they touch or overlap, and the items found."""
+        """Spans (first word, word behind the last), joined where they touch or overlap, and the items found that have an id."""
         nexts, link, length, telling, least = self.next, self.link, self.length, self.telling, self.least
         spans: list[tuple[int, int]] = []
-        found: set[int] = set()
+        found: set[int | None] = set()
         state = run_length = 0
         root = nexts[0]
         for i, word in enumerate(run):
@@ -129,9 +130,9 @@ class SuffixAutomaton:
                     while spans and spans[-1][1] >= begin:
                         begin = min(begin, spans.pop()[0])
                     spans.append((begin, i + 1))
-        return spans, found
+        return spans, found - {None}
 
-    def _tell(self, state: int, run_length: int, found: set[int]) -> int:
+    def _tell(self, state: int, run_length: int, found: set[int | None]) -> int:
         longest = 0
         if run_length >= self.window:
             found |= self.items[self.whole[state]]
@@ -153,16 +154,17 @@ def automata(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS):
     """Broadcast automata, one per block of items of at most ``block_words`` words (or one single longer item).
 
     Items are dealt to blocks by hash; the number of blocks follows from the total. Null and empty items have no window;
-    rows with a null ``item_id`` are left out, and items of one id count as one.
+    items with a null ``item_id`` give hits but no id, and items of one id count as one.
     """
     spark = benchmark.sparkSession
-    items = columns(benchmark, item_id="bigint", text="string").where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = columns(benchmark, item_id="bigint", text="string").where("text IS NOT NULL")
     size = F.length("text")  # characters: an upper bound of the words, twice over
     total = items.agg(F.sum(size)).first()[0] or 0
     blocks = max(1, -(-total // (2 * block_words)))
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = sorted((r.item_id, words(r.text)) for r in block.toLocalIterator())
+        rows = [(r.item_id, words(r.text)) for r in block.toLocalIterator()]
+        rows.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         yield spark.sparkContext.broadcast(SuffixAutomaton(window).build(rows))
 
 
@@ -230,17 +232,20 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(out)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_share: float = 0.5) -> DataFrame:
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, max_share: float = 0.5, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """The documents without benchmark passages, with all their columns.
 
     Spans are cut until none is left; a document that loses more than ``max_share`` of its words is dropped. Documents
-    without a hit pass untouched, null and empty ones too.
+    without a hit pass untouched, null and empty ones too. A cut may join words to a passage of another block of items,
+    so with several blocks the documents that were cut go through all of them again until none is.
     """
-    state = packed(docs).selectExpr("rest", "text", "0L AS n_words", "0L AS n_hit")
+    state = packed(docs).selectExpr("rest", "text", "0L AS n_words", "0L AS n_hit", "0L AS before")
 
     def through(automaton):
         def run(batch):
-            made = {"rest": batch.column("rest"), "text": [], "n_words": [], "n_hit": []}
+            made = {"rest": batch.column("rest"), "before": batch.column("before"), "text": [], "n_words": [], "n_hit": []}
             for text, n, hit in zip(texts(batch), batch.column("n_words"), batch.column("n_hit"), strict=True):
                 run, lost = words(text), 0
                 total = n.as_py() or len(run)
@@ -256,6 +261,21 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_
         return run
 
     schema = state.schema
-    state = passed(state, automata(benchmark, window), lambda a: (schema, through(a)))
-    kept = state.where(F.col("n_hit") <= max_share * F.col("n_words"))
+    blocks = list(automata(benchmark, window, block_words))
+
+    def once(state: DataFrame) -> DataFrame:
+        state = passed(state, blocks, lambda a: (schema, through(a)))
+        return state.where(F.col("n_hit") <= max_share * F.col("n_words"))
+
+    kept = once(state)
+    if len(blocks) > 1:
+        rounds = []
+        while True:
+            now = stored(kept, "decontaminated")
+            rounds.append(now.where("n_hit = before"))
+            again = now.where("n_hit > before").withColumn("before", F.col("n_hit"))
+            if again.isEmpty():
+                break
+            kept = once(again)
+        kept = reduce(DataFrame.unionAll, rounds)
     return unpacked(kept, docs, F.col("n_hit") > 0)
