@@ -14,7 +14,8 @@ from vettra.llm.pieces import PieceEncoder
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, specials: bool = True) -> PieceEncoder:
+    """With ``specials`` false, strings that stand for special tokens are plain text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already use every core
     from tokenizers import Tokenizer
 
@@ -23,10 +24,10 @@ def encoder(path: str) -> PieceEncoder:
     model._resize_cache(0)  # pieces are kept here; the model's own cache then only costs time
     letters = {b: letter for letter, b in byte_letters().items()}
     space = letters[0x20]
-    specials = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items() if x.special}
+    marks = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items() if x.special} if specials else {}
 
     def word(text: str) -> list[int]:
         shown = text.replace(" ", space) if text.isascii() and text.strip(" ").isalpha() else text.encode().decode("latin-1").translate(letters)
         return [x.id for x in model.tokenize(shown)]
 
-    return PieceEncoder(word, specials)
+    return PieceEncoder(word, marks)

@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettra.llm import bpe_automaton, common, cotraining, decontaminate, hamming_dedup, language_id, pii, quality_rules, token_counts, token_orc, warc
+from vettra.llm import (
+    alignment,
+    bpe_automaton,
+    common,
+    cotraining,
+    decontaminate,
+    hamming_dedup,
+    language_id,
+    license_scan,
+    pii,
+    quality_rules,
+    resampling,
+    token_counts,
+    token_orc,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,11 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     """The vocabulary file; it is installed on every node."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query()
@@ -128,3 +143,63 @@ def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Not in SQL (a trained model); held-out accuracy is tested."""
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+# One step of a byte through the checksum's polynomial, for all 256 bytes; then words byte by byte.
+_CRC_TABLE = (
+    "SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: "
+    "CASE WHEN (c & 1) = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc"
+)
+_WORDS = (
+    "regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(
+    f"WITH crc_of AS ({_CRC_TABLE}), "
+    f"d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(text='text')} AS words FROM documents), "
+    "dw AS (SELECT r, unnest(words) AS word FROM d), "
+    f"bw AS (SELECT unnest({_WORDS.format(text='text')}) AS word FROM benchmark), "
+    "every AS (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)), "
+    "hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(word))), "
+    "lambda i: ('0x' || substr(hex(encode(word)), (1 + 2 * i)::INT, 2))::BIGINT))::BIGINT[], "
+    "lambda c, b: xor(crc[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 10000 AS bucket FROM every, crc_of), "
+    "s AS (SELECT bucket, count(*) AS n FROM dw JOIN hashed USING (word) GROUP BY bucket), "
+    "t AS (SELECT bucket, count(*) AS n FROM bw JOIN hashed USING (word) GROUP BY bucket), "
+    "gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE) / "
+    "((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)), "
+    "weighed AS (SELECT r, sum(gain)::BIGINT AS weight FROM dw JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r), "
+    "scored AS (SELECT r, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + "
+    "floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score "
+    "FROM d LEFT JOIN weighed USING (r)), "
+    "ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20) "
+    "SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (r)"
+)
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundreds of rules and the choice between their matches are not SQL; held against brute force in the tests."""
+    at = F.transform("base", lambda x: x.word)
+    base = F.transform("base", lambda x: x.label)
+    found = F.transform("detections", lambda x: x.label)
+    listed = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+    return license_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        listed(base).alias("base_labels"),
+        listed(F.concat(base, found)).alias("labels"),
+        F.coalesce(F.array_max(F.transform("detections", lambda x: x.sure)), F.lit(0.0)).alias("score"),
+    )
+
+
+@query()
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not in SQL (two encodings); held against the libraries and a plain merge in the tests."""
+    return alignment.measured(table(spark, sf_dir, "documents"), tokenizer(), tokenizer("piece_bpe_32k.model"))
