@@ -30,7 +30,7 @@ from vettra.llm.common import arrow_map, columns, stored, texts
 from vettra.llm.library_encoder import encoder
 
 LANE = 512  # bytes
-CHUNK = 2_000_000  # bytes of text that are merged at once
+CHUNK = 500_000  # bytes of text that are merged at once
 MOST_PAIRS = 20_000_000  # linkable pairs of two vocabularies; their counts travel with each task
 
 
@@ -41,7 +41,7 @@ class Vocabularies:
         import sentencepiece
 
         automaton = bpe_automaton.load(path_a)
-        self.a = encoder(path_a, specials=False).encode
+        self.a = encoder(path_a, specials=False, size=150_000).encode
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a = automaton.labels
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]

@@ -14,8 +14,8 @@ from vettra.llm.pieces import PieceEncoder
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, specials: bool = True) -> PieceEncoder:
-    """With ``specials`` false, strings that stand for special tokens are plain text."""
+def encoder(path: str, specials: bool = True, size: int = 350_000) -> PieceEncoder:
+    """With ``specials`` false, strings that stand for special tokens are plain text; ``size`` bounds the pieces kept."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already use every core
     from tokenizers import Tokenizer
 
@@ -30,4 +30,4 @@ def encoder(path: str, specials: bool = True) -> PieceEncoder:
         shown = text.replace(" ", space) if text.isascii() and text.strip(" ").isalpha() else text.encode().decode("latin-1").translate(letters)
         return [x.id for x in model.tokenize(shown)]
 
-    return PieceEncoder(word, marks)
+    return PieceEncoder(word, marks, size)
