@@ -261,6 +261,47 @@ def test_a_chain_is_one_component(spark):
     assert {r.component_id for r in found.collect()} == set(brute.groups(rows, 3, 85)[0].values()) == {0}
 
 
+def test_texts_of_one_id_lose_no_link(spark):
+    rng = random.Random(4)
+    one, two = prose(rng, 100, 10**6), prose(rng, 100, 10**6)
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, " "), (4, None), (5, "x y"), (5, "x y"), (None, "x y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in hamming_dedup.linked(df).collect())
+    assert found == sorted(
+        [(1, 1, True)] * 2 + [(2, 1, False), (3, 1, False)] + [(4, 4, True)] * 2 + [(5, 5, True)] * 2 + [(0, 0, True)]
+    )
+    assert sorted(r.doc_id or 0 for r in hamming_dedup.deduplicated(df).collect()) == [0, 1, 4, 4, 5]
+
+
+@pytest.mark.parametrize("words,changed", [(60, 1), (40, 2)])
+def test_rows_grow_with_the_group(spark, monkeypatch, words, changed):
+    """Near copies of one text: what is dealt stays in proportion, and every link is found."""
+    monkeypatch.setattr(hamming_dedup, "BLOCK", 32)
+    rng, dealt = random.Random(6), []
+    base = prose(rng, words, 10**6).split()
+    rows = []
+    for i in range(800):
+        copy = list(base)
+        for _ in range(changed):
+            copy[rng.randrange(words)] = f"other{i}"
+        rows.append((i, " ".join(copy)))
+    real = hamming_dedup.by_group
+
+    def counted(rows, names, schema, pairs):
+        rows = common.stored(rows, "dealt")
+        groups = rows.groupBy(*names).count().agg(F.max("count")).first()[0] or 0
+        dealt.append((names, rows.count(), groups))
+        return real(rows, names, schema, pairs)
+
+    monkeypatch.setattr(hamming_dedup, "by_group", counted)
+    found = hamming_dedup.linked(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85)
+    assert {r.doc_id: r.component_id for r in found.collect()} == brute.groups(rows, 3, 85)[0]
+    if changed == 1:  # one group, nearly all linked: its members and the pivots of each block
+        closing = [n for names, n, _ in dealt if names == ["group", "block"]][-1]
+        assert closing <= len(rows) * (1 + 8 / 32) + 100
+    assert all(most <= 5 * 32 for _, _, most in dealt)
+
+
 def test_language(spark, empty):
     rng = random.Random(8)
     letters = {"aa": "abcdefg", "bb": "éèçaeio", "cc": "ñsdlkju"}

@@ -9,9 +9,13 @@ Documents with equal sets are one class from the start. Work on a bucket (the cl
 
 1. each class is compared with the smallest of its bucket; a sketch of 256 values must be close enough (``sketch_limit``);
 2. buckets that still hold several groups are closed under "sketches are close", with groups merged as they are found,
-   so only merging pairs come out. Buckets over ``BLOCK`` classes are dealt as pairs of blocks;
+   so only merging pairs come out;
 3. inside the groups of close sketches, links are confirmed on full sets; pairs already connected are skipped, and again
-   only merging pairs come out, in blocks of bounded size.
+   only merging pairs come out.
+
+Steps 2 and 3 deal a large group in blocks of ``BLOCK`` members, and each block also gets the same few pivots. So members
+are united within their block, and blocks through the pivots, with rows in proportion to the group. What is then not in
+the group's largest part meets every block: exact, and few rows unless many members are close to none.
 
 Links give components by alternating large-star and small-star steps.
 """
@@ -22,12 +26,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vettra.llm.common import Memo, arrow_map, columns, stored, texts
 
-VALUES, CHUNKS, SKETCH, BLOCK = 32, 8, 256, 512
+VALUES, CHUNKS, SKETCH, BLOCK, PIVOTS = 32, 8, 256, 256, 8
 WIDTH = VALUES // CHUNKS
 U = np.uint64
 
@@ -79,6 +83,7 @@ def minhash(values: np.ndarray, first: int, last: int, bits: int) -> np.ndarray:
     return _mixed(images.min(1)) >> U(64 - bits)
 
 
+LINK = "a bigint, b bigint"
 SIGNED = "doc_id bigint, n_shingles bigint, set_hash binary, signature array<int>"
 
 
@@ -129,15 +134,45 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
-def in_blocks(rows: DataFrame, group: str) -> DataFrame:
-    """Deal each group as pairs of blocks: adds ``block`` (own) and ``low``, ``high`` (of the pair).
+def numbered(rows: DataFrame, blocks: str, name: str) -> DataFrame:
+    """``rows`` with a block number below ``blocks``, by id."""
+    return rows.withColumn(name, F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int"))
+
+
+def repeated(rows: DataFrame, blocks: str, name: str) -> DataFrame:
+    """``rows`` once for every block number below ``blocks``."""
+    return rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+
 
-    Blocks hold about ``BLOCK`` rows. Every pair of rows of one group meets in exactly one pair of blocks.
+def closure(rows: DataFrame, told: DataFrame, near: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """Links (a, b) that, with the given labels, connect all members of a group that ``near`` connects.
+
+    ``rows`` has group, id and label (members of one label are connected already), ``told`` what ``near`` reads of an id.
+    ``near`` gets up to ``BLOCK`` members and a few more; where there is a column ``side``, pairs are of one member of
+    side 1 and one of side 0.
     """
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+    count = (F.ceil(F.count("*") / BLOCK)).cast("int")
+    dealt = numbered(rows.join(rows.groupBy("group").agg(count.alias("blocks")), "group"), "blocks", "block")
+    large = dealt.where("blocks > 1")
+    few = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64(F.lit(1), "id"), "id"))
+    pivots = large.withColumn("place", few).where(F.col("place") <= PIVOTS).withColumnRenamed("block", "own")
+    pivots = repeated(pivots, "blocks", "block").where("block <> own").select("group", "id", "label", "block")
+    first = dealt.select("group", "id", "label", "block").unionByName(pivots).join(told, "id")
+    links = stored(by_group(first, ["group", "block"], LINK, near), "closing-links")
+    large = stored(large, "large-groups")
+    if large.isEmpty():
+        return links
+    joined = components(links.union(large.select("id", "label")))
+    large = large.drop("label").join(joined, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    parts = large.groupBy("group", "label").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("of_most"))
+    parts = parts.where("of_most < n").select("group", "most", F.ceil((F.col("n") - F.col("of_most")) / BLOCK).cast("int").alias("others"))
+    open_ = stored(large.join(parts, "group"), "open-groups")
+    every = repeated(open_, "others", "part").withColumn("side", F.lit(0))
+    rest = repeated(numbered(open_.where("label <> most").drop("block"), "others", "part"), "blocks", "block").withColumn("side", F.lit(1))
+    names = ["group", "block", "part", "id", "label", "side"]
+    second = every.select(names).unionByName(rest.select(names)).join(told, "id")
+    return links.union(by_group(second, ["group", "block", "part"], LINK, near))
 
 
 def by_group(rows: DataFrame, names: list[str], schema: str, pairs: Callable) -> DataFrame:
@@ -201,8 +236,7 @@ def merging(group: pa.Table, limit: int, percent: int, exact: bool) -> list[tupl
     order = np.argsort(ids, kind="stable")
     sizes = np.asarray(group.column("n_shingles"))
     sketches = np.stack([np.frombuffer(x.as_py(), "u1") for x in group.column("sketch")])
-    blocks = np.asarray(group.column("block"))
-    across = group.column("low")[0] != group.column("high")[0]
+    side = np.asarray(group.column("side")) if "side" in group.column_names else None
     sets: dict[int, np.ndarray] = {}
 
     def full(i: int) -> np.ndarray:
@@ -211,11 +245,14 @@ def merging(group: pa.Table, limit: int, percent: int, exact: bool) -> list[tupl
         return sets[i]
 
     out = []
-    for at, i in enumerate(order[:-1]):
-        rest = order[at + 1 :]
+    for at, i in enumerate(order):
+        if side is None:
+            rest = order[at + 1 :]
+        elif side[i]:
+            rest = order[side[order] == 0]
+        else:
+            continue
         rest = rest[roots.root[rest] != roots.root[i]]
-        if across:
-            rest = rest[blocks[rest] != blocks[i]]
         low, high = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
         rest = rest[100 * low >= percent * high]
         if not len(rest):
@@ -235,8 +272,9 @@ def merging(group: pa.Table, limit: int, percent: int, exact: bool) -> list[tupl
 
 
 def described(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, n_shingles, sketch, shingles) of the wanted ids, from their texts; ``wanted`` has id and set_hash."""
-    rows = columns(docs, doc_id="bigint", text="string").join(wanted, F.col("doc_id") == F.col("id"))
+    """(id, n_shingles, sketch, shingles) of the wanted classes, from the texts of their documents; ``wanted`` has id,
+    doc and set_hash."""
+    rows = columns(docs, doc_id="bigint", text="string").join(wanted, F.col("doc_id") == F.col("doc"))
 
     def run(batch):
         import xxhash
@@ -245,7 +283,7 @@ def described(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for i, text, digest in zip(batch.column("id"), texts(batch), batch.column("set_hash"), strict=True):
             values = tool.of(text)
             if xxhash.xxh3_128_digest(values.tobytes()) != digest.as_py():
-                continue  # another row of this doc_id
+                continue  # another text of this doc_id
             made["id"].append(i.as_py())
             made["n_shingles"].append(len(values))
             made["sketch"].append(minhash(values, VALUES, VALUES + SKETCH, 8).astype("u1").tobytes())
@@ -253,7 +291,15 @@ def described(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         return made
 
     schema = "id bigint, n_shingles bigint, sketch binary, shingles binary"
-    return arrow_map(rows.select("id", "text", "set_hash"), schema, run)
+    return arrow_map(rows.select("id", "text", "set_hash"), schema, run).dropDuplicates(["id"])
+
+
+def same_document(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of each ``doc_id`` that stands for several texts."""
+    several = full.groupBy("doc_id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).where("low <> high")
+    rows = full.join(several.select("doc_id"), "doc_id").select("doc_id", "set_hash").distinct().join(classes, "set_hash")
+    least = rows.groupBy("doc_id").agg(F.min("id").alias("b"))
+    return rows.join(least, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
 
 
 def linked(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
@@ -261,19 +307,21 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
 
     Two documents are linked when ``100 * intersection >= percent * union`` of their sets of ``size``-word shingles;
     ``component_id`` is the smallest ``doc_id`` that links lead to. A text of fewer words is one shingle; null, empty
-    and blank texts have no shingles and are linked with nothing. Rows of one ``doc_id`` count as one document where
-    they are linked; a null ``doc_id`` is linked with nothing and kept. Texts are used whole.
+    and blank texts have no shingles and are linked with nothing. Rows of one ``doc_id`` that have words count as one
+    document, whatever their texts: what is linked with any of them is linked with all. A null ``doc_id`` is linked with
+    nothing and kept. Texts are used whole.
     """
     limit = sketch_limit(percent / 100)
     rows = stored(signed(docs, size), "signatures")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(full.groupBy("set_hash", "signature").agg(F.min("doc_id").alias("id")), "classes")
+    classes = full.groupBy("set_hash", "signature").agg(F.min("doc_id").alias("doc"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     keyed = classes.select("id", F.explode(keys()).alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = stored(keyed.join(buckets, "key"), "bucket-members")
-    wanted = members.select("id").distinct().join(classes.select("id", "set_hash"), "id")
-    told = stored(described(docs, wanted, size).dropDuplicates(["id"]), "described")
+    wanted = members.select("id").distinct().join(classes.select("id", "doc", "set_hash"), "id")
+    told = stored(described(docs, wanted, size), "described")
     sketches = told.select("id", "n_shingles", "sketch")
 
     pairs = members.where("id <> center").select("id", "center").distinct()
@@ -285,21 +333,22 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
         near = (np.count_nonzero(a != b, axis=1) <= limit) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
         return {c: pa.array(np.asarray(batch.column(old))[near]) for c, old in (("a", "id"), ("b", "center"))}
 
-    stars = stored(arrow_map(pairs, "a bigint, b bigint", close), "close-pairs")
+    stars = stored(arrow_map(pairs, LINK, close), "close-pairs")
     labels = components(stars)
-    labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    labelled = members.join(labels, "id", "left").select(F.col("key").alias("group"), "id", F.coalesce("component", "id").alias("label"))
     labelled = stored(labelled, "bucket-labels")
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    rest = in_blocks(labelled.join(open_.select("key"), "key"), "key").join(sketches, "id")
-    more = by_group(rest, ["key", "low", "high"], "a bigint, b bigint", lambda g: merging(g, limit, percent, exact=False))
+    open_ = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    more = closure(labelled.join(open_.select("group"), "group"), sketches, lambda g: merging(g, limit, percent, exact=False))
     near = components(stored(stars.union(more), "close-pairs"))
 
-    groups = in_blocks(near.withColumn("label", F.col("id")), "component").join(told, "id")
-    links = by_group(groups, ["component", "low", "high"], "a bigint, b bigint", lambda g: merging(g, limit, percent, exact=True))
-    found = components(stored(links, "links"))
+    groups = near.select(F.col("component").alias("group"), "id", F.col("id").alias("label"))
+    links = closure(groups, told, lambda g: merging(g, limit, percent, exact=True))
+    found = components(stored(links.union(same_document(full, classes)), "links"))
 
-    of_class = classes.join(found, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(of_class, "set_hash", "left")
+    of_class = classes.join(found, "id", "left").select("set_hash", "doc", F.coalesce("component", "id").alias("component"))
+    of_class = stored(of_class, "class-components")
+    smallest = of_class.groupBy("component").agg(F.min("doc").alias("component_id"))
+    out = rows.join(of_class.join(smallest, "component").select("set_hash", "component_id"), "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
@@ -308,12 +357,16 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest ``doc_id``.
 
-    Of repeated rows of one ``doc_id`` in a group one stays; documents without words and with a null id all stay.
+    Of several rows of that ``doc_id`` that have words one stays. Rows without words, and rows with a null ``doc_id``,
+    all stay.
     """
-    verdicts = linked(docs, size, percent)
-    gone = verdicts.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    shared = verdicts.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if shared.isEmpty():
-        return kept
-    return kept.where("doc_id IS NULL").union(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
+    verdicts = linked(docs, size, percent).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    by_id = stored(verdicts.groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("n")), "verdicts")
+    has_words = F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]")
+    inner = [F.col(f"`{c}`") for c in docs.columns]
+    told = docs.select(F.when(has_words, F.col("doc_id").cast("bigint")).alias("key"), F.struct(*inner).alias("row"))
+    apart = by_id.where("NOT kept OR n > 1").select(F.col("doc_id").alias("key"))
+    alone = told.join(apart, "key", "left_anti").select("row")
+    often = told.join(by_id.where("kept AND n > 1").select(F.col("doc_id").alias("key")), "key", "left_semi")
+    one = often.groupBy("key").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row")
+    return alone.unionByName(one).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
