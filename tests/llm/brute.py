@@ -42,6 +42,30 @@ def figures(text):
     }
 
 
+def line_verdicts(rows, max_docs, max_share, min_left, copies_once, first_stays):
+    """(words removed, lines removed, kept) of each (doc_id, text, host), by comparing every line with every document."""
+
+    def normal(text):
+        lines = [re.split(r"[\x20\x09-\x0D]+", lower(line).strip("\x20\t\n\v\f\r")) for line in (text or "").split("\n")]
+        return [" ".join(words) for words in lines if words != [""]]
+
+    out = []
+    held = [(i, text or "", host, normal(text)) for i, text, host in rows]
+    for i, text, host, lines in held:
+        same = [x for x in held if x[2] == host]
+        n = len({x[1] if copies_once else x[0] for x in same})
+        removed = count = 0
+        for line in lines:
+            holders = [x for x in same if line in x[3]]
+            docs = {x[1] if copies_once else x[0] for x in holders}
+            first = min((x[0] for x in holders if x[0] is not None), default=None)
+            if len(docs) > max_docs and len(docs) > max_share * n and not (first_stays and i == first):
+                removed, count = removed + len(line.split(" ")), count + 1
+        told = figures(text)
+        out.append((removed, count, not told["base_failed"] and told["n_words"] - removed >= min_left * told["n_words"]))
+    return out
+
+
 def hits(text, items, window):
     """(words hit, items found) of one text; items by id."""
     words, hit, found = WORD.findall(lower(text)), set(), set()

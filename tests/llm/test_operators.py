@@ -153,10 +153,31 @@ def test_depleted_documents_go_but_the_first_holder_stays(spark):
     rng = random.Random(1)
     shared = "\n".join(prose(rng, 60, 5000) for _ in range(2))
     rows = [(i, f"{shared}\nown {prose(rng, 5, 5000)}", "en", "host" if i < 20 else "other", 1) for i in range(23)]
-    kept = quality_rules.judge(spark.createDataFrame(rows, SCHEMA), max_docs=10, min_left=0.3).where("kept")
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = quality_rules.judge(df, max_docs=10, min_left=0.3, first_stays=True).where("kept")
     assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [0, 20, 21, 22]
+    kept = quality_rules.judge(df, max_docs=10, min_left=0.3).where("kept")
+    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [20, 21, 22]
     copies = spark.createDataFrame([(i, shared, "en", "host", 1) for i in range(20)], SCHEMA)
-    assert quality_rules.judge(copies, max_docs=10).where("NOT kept").count() == 0  # one text, however often
+    assert quality_rules.judge(copies, max_docs=10).where("kept").count() == 0
+    assert quality_rules.judge(copies, max_docs=10, copies_once=True).where("NOT kept").count() == 0
+
+
+@pytest.mark.parametrize("copies_once,first_stays", [(False, False), (True, False), (False, True), (True, True)])
+def test_lines_as_brute_force(spark, copies_once, first_stays):
+    rng = random.Random(9)
+    lines = [prose(rng, rng.randrange(1, 20), 300) for _ in range(25)] + ["A  b", "a b ", "", " \t", "É x"]
+    rows = []
+    for i in range(120):
+        text = "\n".join(rng.choices(lines, k=rng.randrange(14)))
+        rows += [(i, text, rng.choice(["", "h", "k", None]))] * rng.choice([1, 1, 2])
+    rows += [(500 + i, rows[3][1], "h") for i in range(9)] + [(600, None, "h"), (None, rows[5][1], "k"), (None, None, None)]
+    df = spark.createDataFrame([(i, t, "en", h, 1) for i, t, h in rows], SCHEMA)
+    options = {"max_docs": 3, "max_share": 0.3, "min_left": 0.6, "copies_once": copies_once, "first_stays": first_stays}
+    told = brute.line_verdicts(rows, **options)
+    got = collected(quality_rules.judge(df, **options), "doc_id", "n_removed", "n_common_lines", "kept")
+    assert got == sorted(((i, *x) for (i, *_), x in zip(rows, told, strict=True)), key=repr)
+    assert len({x[2] for x in told}) == 2 and any(x[1] for x in told)
 
 
 def test_common_lines_by_share_of_a_host(spark):
@@ -170,9 +191,9 @@ def test_common_lines_by_share_of_a_host(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     holders = [i for i, t, *_ in rows if "reserved" in t]
     firsts = {min(i for i in holders if rows[i][3] == host) for host in ("small", "large", None)}
-    judged = {r.doc_id: (r.n_common_lines, r.n_removed) for r in quality_rules.judge(df).collect()}
+    judged = {r.doc_id: (r.n_common_lines, r.n_removed) for r in quality_rules.judge(df, copies_once=True, first_stays=True).collect()}
     assert judged == {i: (1, 3) if i in holders and i not in firsts else (0, 0) for i in range(len(rows))}
-    clean = {r.doc_id: r.text for r in quality_rules.cleaned(df).collect()}
+    clean = {r.doc_id: r.text for r in quality_rules.cleaned(df, copies_once=True, first_stays=True).collect()}
     assert {i for i, t in clean.items() if "reserved" in t} == firsts
     assert sum("les." in t for t in clean.values()) == sum("les." in t for _, t, *_ in rows)
 
@@ -280,7 +301,7 @@ def test_rows_grow_with_the_group(spark, monkeypatch, words, changed):
     rng, dealt = random.Random(6), []
     base = prose(rng, words, 10**6).split()
     rows = []
-    for i in range(800):
+    for i in range(500):
         copy = list(base)
         for _ in range(changed):
             copy[rng.randrange(words)] = f"other{i}"

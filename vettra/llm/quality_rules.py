@@ -1,10 +1,12 @@
 """Quality rules: figures of each text, and lines that too many documents of one host share.
 
 Lines are normalised (bytes lower-cased, white space runs as one space) and hashed. For each host and line hash the
-distinct documents are counted; documents with equal whole texts count once, so a page copied a thousand times does not
-make its own lines common. A line above the limit, a share of the host's distinct texts but never fewer than a few texts,
-is removed from every document of that host but the first that holds it. A document that keeps too small a share of its
-words is rejected as depleted.
+distinct documents are counted. A line above the limit, a share of the host's documents but never fewer than a few, is
+removed from every document of that host. A document that keeps too small a share of its words is rejected as depleted.
+
+Two options spare copies, for use before near duplicates are removed: ``copies_once`` counts documents with equal whole
+texts as one, so that a page copied a thousand times does not make its own lines common, and ``first_stays`` leaves a
+common line to the first document that holds it, so that one full member of a group of near copies is left.
 
 Line counts are aggregated before each shuffle (distinct line and text first, then counts), so a line that a third of
 all documents hold is a few rows per task. Only lines above the least count meet their host's number of texts, one row a
@@ -84,30 +86,50 @@ def measured(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, HELD, run)
 
 
-def common_lines(held: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """(host, line, first_doc, n_docs): lines that more than ``max_docs`` and ``max_share`` of a host's distinct texts hold."""
-    lines = held.select("doc_id", F.coalesce("host", F.lit("")).alias("host"), "text_hash", F.explode("lines.line").alias("line"))
-    by_text = lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("doc_id"))
-    by_line = by_text.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    texts = held.select(F.coalesce("host", F.lit("")).alias("host"), "text_hash").distinct()
-    hosts = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
-    often = by_line.where(F.col("n_docs") > max_docs).join(hosts, "host")
-    return often.where(F.col("n_docs") > max_share * F.col("n_texts")).drop("n_texts")
-
+def common_lines(held: DataFrame, max_docs: int, max_share: float, copies_once: bool) -> DataFrame:
+    """(host, line, first_doc, n_docs): lines that more than ``max_docs`` and ``max_share`` of a host's documents hold.
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = 0.3, max_share: float = MAX_SHARE) -> DataFrame:
+    Documents are told apart by ``doc_id``, or by their texts if ``copies_once``; null ids are one document.
+    """
+    document = F.struct("text_hash") if copies_once else F.struct("doc_id")
+    lines = held.select("doc_id", "host", document.alias("document"), F.explode("lines.line").alias("line"))
+    by_document = lines.groupBy("host", "line", "document").agg(F.min("doc_id").alias("doc_id"))
+    by_line = by_document.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    documents = held.select("host", document.alias("document")).distinct()
+    hosts = documents.groupBy("host").agg(F.count("*").alias("n"))
+    often = by_line.where(F.col("n_docs") > max_docs)
+    often = often.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
+    return often.where(F.col("n_docs") > max_share * F.col("n")).drop("n", "of")
+
+
+def removable(held: DataFrame, key: str, max_docs: int, max_share: float, copies_once: bool, first_stays: bool) -> DataFrame:
+    """(key, line, words) of the lines that documents lose."""
+    lines = held.select(key, F.col("doc_id").alias("doc"), "host", F.explode("lines").alias("x")).select(key, "doc", "host", "x.*")
+    common = common_lines(held, max_docs, max_share, copies_once).select(
+        F.col("host").alias("of"), F.col("line").alias("common"), "first_doc"
+    )
+    hit = lines.join(common, (F.col("line") == F.col("common")) & F.col("host").eqNullSafe(F.col("of")))
+    return hit.where(~F.col("doc").eqNullSafe(F.col("first_doc"))) if first_stays else hit
+
+
+def judge(
+    docs: DataFrame,
+    max_docs: int = MAX_DOCS,
+    min_left: float = 0.3,
+    max_share: float = MAX_SHARE,
+    copies_once: bool = False,
+    first_stays: bool = False,
+) -> DataFrame:
     """One row per document: figures, ``n_removed`` words in removed lines, ``n_common_lines`` and ``kept``.
 
-    A line may be held by ``max_share`` of a host's distinct texts, and by ``max_docs`` of them however few there are.
+    A line may be held by ``max_share`` of a host's documents, and by ``max_docs`` of them however few there are.
     ``min_left``: share of words that must be left.
     A document is kept if its figures pass and it is not depleted. Null and empty texts have no words and fail. A null
-    ``source`` counts as the host ``""``. Repeated rows are judged alike; rows with a null ``doc_id`` are judged too.
+    ``source`` is a host of its own. Repeated rows are judged alike and count once; rows with a null ``doc_id`` are judged
+    too.
     """
     held = stored(measured(docs).withColumn("row", F.monotonically_increasing_id()), "quality-lines")
-    lines = held.select("row", "doc_id", F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("x"))
-    lines = lines.select("row", "doc_id", "host", "x.line", "x.words")
-    hit = lines.join(common_lines(held, max_docs, max_share), ["host", "line"])
-    hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    hit = removable(held, "row", max_docs, max_share, copies_once, first_stays)
     removed = hit.groupBy("row").agg(F.sum("words").alias("n_removed"), F.count("*").alias("n_common_lines"))
     rows = held.drop("lines", "text_hash", "host").join(removed, "row", "left")
     left = F.col("n_words") - F.col("n_removed")
@@ -116,18 +138,23 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = 0.3, max_
     )
 
 
-def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = 0.3, max_share: float = MAX_SHARE) -> DataFrame:
+def cleaned(
+    docs: DataFrame,
+    max_docs: int = MAX_DOCS,
+    min_left: float = 0.3,
+    max_share: float = MAX_SHARE,
+    copies_once: bool = False,
+    first_stays: bool = False,
+) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns, without their removed lines.
 
-    ``text`` loses whole lines; ``n_chars``, if there, is counted anew where it changed. Repeated rows, also of one
-    ``doc_id``, are judged each for itself; the first row that holds a line keeps it.
+    ``text`` loses whole lines; ``n_chars``, if there, is counted anew where it changed. Here each row is a document of its
+    own, also repeated rows and those of one ``doc_id``.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"))
     rows = stored(rows, "quality-docs")
     held = stored(measured(rows.select(F.col("row").alias("doc_id"), "doc.source", "doc.text")), "quality-lines")
-    lines = held.select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("x"))
-    hit = lines.select("doc_id", "host", "x.line", "x.words").join(common_lines(held, max_docs, max_share), ["host", "line"])
-    hit = hit.where(F.col("doc_id") != F.col("first_doc"))
+    hit = removable(held, "doc_id", max_docs, max_share, copies_once, first_stays)
     removed = hit.groupBy("doc_id").agg(F.sum("words").alias("n_removed"), F.collect_set("line").alias("gone"))
     left = F.col("n_words") - F.coalesce("n_removed", F.lit(0))
     kept = held.drop("lines").join(removed, "doc_id", "left").where(~F.col("base_failed") & (left >= min_left * F.col("n_words")))
