@@ -14,8 +14,11 @@ from vettra.llm.queries import table, tokenizer
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines that too many documents of a host share."""
-    return quality_rules.cleaned(docs)
+    """Documents that the quality rules keep, without the lines that too many documents of a host share.
+
+    Copies are removed only later, so here they do not make their own lines common, and one document keeps each line.
+    """
+    return quality_rules.cleaned(docs, copies_once=True, first_stays=True)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
