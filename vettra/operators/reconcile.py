@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from vettra.constants import LIST_CHANGES
 from vettra.functions.fields import stable_id, version_key
+from vettra.operators import blocking
 from vettra.operators import decide as rules_engine
 from vettra.operators import screen as screening_step
 from vettra.operators.dedup import last_of
@@ -17,6 +18,10 @@ from vettra.operators.lists import ProviderState
 from vettra.session import stored
 
 
+MATCH_FACTS = ["provider_id", "list_type", "matched_name", "score", "dob_match", "evidence_ref", "pep_tier", "media_confidence"]
+ROUND_FACTS = ["provider_id", "list_type", "new_list_version", "seq"]
+
+
 @dataclass(frozen=True)
 class Reconciled:
     served: DataFrame
@@ -161,6 +166,122 @@ def run_rows(updates: DataFrame, drift: DataFrame, started: Column, finished: Co
     )
 
 
+def states_after(changes: list[Row], state: list[ProviderState]) -> list[list[ProviderState]]:
+    """What the providers serve after each change set."""
+    out = []
+    for change in changes:
+        state = [
+            replace(s, list_version=change.new_list_version) if s.provider_id == change.provider_id else s for s in state
+        ]
+        out.append(state)
+    return out
+
+
+def with_round(updates: DataFrame, changes: list[Row]) -> DataFrame:
+    """Each update's round: the place of its change set in the order of arrival."""
+    same = [
+        (F.col("provider_id").eqNullSafe(F.lit(c.provider_id)) & F.col("list_type").eqNullSafe(F.lit(c.list_type)))
+        & F.col("new_list_version").eqNullSafe(F.lit(c.new_list_version))
+        for c in changes
+    ]
+    return updates.withColumn("round", F.coalesce(*[F.when(ok, F.lit(i)) for i, ok in enumerate(same)]))
+
+
+def entry_changes(updates: DataFrame) -> DataFrame:
+    """(entry_id, round, change, entry, until): what each round leaves of an entry it touches, and the round that touches
+    the entry next. Within a round the latest change decides."""
+    touched = updates.where(F.col("change").isin("add", "remove"))
+    latest = last_of(
+        touched.select(F.col("entry.entry_id").alias("entry_id"), "round", "change", "entry", "seq"), ["entry_id", "round"], "seq"
+    )
+    return latest.withColumn("until", F.lead("round").over(Window.partitionBy("entry_id").orderBy("round"))).drop("seq")
+
+
+def as_entries(changed: DataFrame, like: DataFrame) -> DataFrame:
+    """The added entries of ``changed`` with the columns of ``like``, and ``round`` and ``until``."""
+    added = changed.where("change = 'add'").select("entry.*", "round", "until")
+    for name in like.columns:
+        if name not in added.columns:
+            added = added.withColumn(name, F.lit(None).cast(like.schema[name].dataType))
+    return added.select(*like.columns, "round", "until")
+
+
+def served_after(entries: DataFrame, changes: DataFrame, at_round: int) -> DataFrame:
+    """The list after a round, from the list before the first and the changes of :func:`entry_changes`."""
+    touched = changes.where(F.col("round") <= at_round)
+    added = as_entries(touched.where(F.col("until").isNull() | (F.col("until") > at_round)), entries)
+    kept = entries.join(touched.select("entry_id").distinct(), "entry_id", "left_anti").select(entries.columns)
+    return kept.unionByName(added.drop("round", "until"))
+
+
+def affected_rounds(versions: DataFrame, changes: list[Row], states: list[list[ProviderState]]) -> DataFrame:
+    """(client_id, round, old_version): the rounds that outdate a client, who is up to date again after each.
+
+    ``versions`` has the ``list_versions`` of each client's latest screening.
+    """
+    after = F.array(*[screening_step.list_versions(s) for s in states])
+    rounds = F.array(
+        *[F.struct(F.lit(i).alias("round"), F.lit(c.provider_id).alias("of"), F.lit(c.new_list_version).cast("string").alias("version")) for i, c in enumerate(changes)]
+    )
+    none = F.array().cast("array<struct<round:int,old_version:string>>")
+    start = F.struct(F.lit(-1).alias("last"), none.alias("hits"))
+
+    def step(acc: Column, x: Column) -> Column:
+        used = F.when(acc["last"] < 0, F.try_element_at(F.col("list_versions"), x["of"])).otherwise(
+            F.try_element_at(F.get(after, acc["last"]), x["of"])
+        )
+        hit = version_key(used) < version_key(x["version"])
+        more = F.concat(acc["hits"], F.array(F.struct(x["round"].alias("round"), used.alias("old_version"))))
+        return F.struct(
+            F.when(hit, x["round"]).otherwise(acc["last"]).alias("last"), F.when(hit, more).otherwise(acc["hits"]).alias("hits")
+        )
+
+    hits = F.aggregate(rounds, start, step)["hits"]
+    return versions.select("client_id", F.explode(hits).alias("x")).select("client_id", "x.round", "x.old_version")
+
+
+def carried_matches(asked: DataFrame, match: DataFrame, changes: DataFrame) -> DataFrame:
+    """Stored matches of up-to-date clients that are still matches in a round: their entry is untouched until then."""
+    gone = changes.groupBy("entry_id").agg(F.min("round").alias("gone")).withColumnRenamed("entry_id", "evidence_ref")
+    old = match.select("screening_id", *[c for c in MATCH_FACTS]).withColumnRenamed("screening_id", "prior_screening_id")
+    rows = asked.where("current").select("prior_screening_id", "screening_id", "client_id", "round").join(old, "prior_screening_id")
+    rows = rows.join(gone, "evidence_ref", "left").where("gone IS NULL OR round < gone")
+    return rows.select("screening_id", "client_id", *MATCH_FACTS)
+
+
+def added_matches(asked: DataFrame, entries: DataFrame, changes: DataFrame, state: list[ProviderState]) -> DataFrame:
+    """Matches of up-to-date clients with added entries, in the rounds in which those are on the list.
+
+    Every version of an entry is compared once with every person, however many rounds there are.
+    """
+    added = as_entries(changes, entries).withColumn("entry_id", F.concat_ws("#", "round", "entry_id"))
+    life = added.select(F.col("entry_id").alias("evidence_ref"), F.col("round").alias("since"), "until")
+    people = asked.where("current").select(F.col("client_id").alias("screening_id"), "client_id", "canonical_name", "dob_iso")
+    found = screening_step.matches(people.distinct(), added.drop("round", "until"), state).drop("match_id", "screening_id")
+    rows = asked.where("current").select("screening_id", "client_id", "round").join(found.join(life, "evidence_ref"), "client_id")
+    rows = rows.where("since <= round AND (until IS NULL OR round < until)")
+    true_id = F.substring(F.col("evidence_ref"), F.length(F.substring_index("evidence_ref", "#", 1)) + 2, F.length("evidence_ref"))
+    return rows.withColumn("evidence_ref", true_id).select("screening_id", "client_id", *MATCH_FACTS)
+
+
+def candidate_changes(asked: DataFrame, entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """(letters, round, change): by how much a round's candidates differ from those before the first."""
+    added = as_entries(changes, entries).withColumn("sign", F.lit(1))
+    gone = changes.groupBy("entry_id").agg(F.min("round").alias("round"))
+    left = entries.join(gone, "entry_id").withColumns({"until": F.lit(None).cast("int"), "sign": F.lit(-1)})
+    steps = added.unionByName(left.select(added.columns))
+    # The count is by provider; here each step of the list stands for one.
+    steps = steps.withColumn("provider_id", F.concat_ws(":", "sign", "round", F.coalesce(F.col("until").cast("string"), F.lit(""))))
+    totals = blocking.candidate_totals(asked.select("letters").distinct(), steps).withColumn("s", F.split("provider_id", ":"))
+    facts = totals.select(
+        "letters", (F.col("s")[0].cast("int") * F.col("total")).alias("change"), F.col("s")[1].cast("int").alias("since"),
+        F.col("s")[2].try_cast("int").alias("until"),
+    )
+    rounds = asked.select("letters", "round").distinct().join(facts, "letters")
+    rounds = rounds.where("since <= round AND (until IS NULL OR round < until)")
+    return rounds.groupBy("letters", "round").agg(F.sum("change").alias("change"))
+
+
 def reconcile(
     profiles: DataFrame,
     entries: DataFrame,
@@ -171,73 +292,112 @@ def reconcile(
     rules: DataFrame,
     limit: int | None = None,
     clock: Column | None = None,
+    match: DataFrame | None = None,
+    mirror: DataFrame | None = None,
 ) -> Reconciled:
     """Apply the updates and screen the clients each new version outdates again, with their original trace.
 
-    ``updates`` carries ``seq``, its order of arrival. Versions are worked off in that order: each changes its own
+    ``updates`` carries ``seq``, its order of arrival. Versions are rounds, worked off in that order: each changes its own
     provider's list, and what it does to outcomes is booked on its own run. A client that two providers' versions
     outdate is screened twice, as its outcome may change twice. Every screening leads to a decision and an audit row.
+
+    All rounds are one pass. ``match`` holds the stored matches of the screenings: for a client whose latest screening used
+    what ``state`` and ``entries`` hold now, only entries that a round adds are compared with the name; matches with
+    entries that a round removes go, the others are carried over. Other clients, and all of them without ``match`` or with
+    a page ``limit``, are screened against the whole list of each round. ``mirror`` is the local copy kept from earlier
+    batches.
     """
     now = F.current_timestamp() if clock is None else clock
     updates = stored(known_changes(updates)[0], "update")
-    mirror = upsert_mirror(entries.withColumn("is_active", F.lit(True)), updates)
+    changes = change_sets(updates)
+    if not changes:
+        raise ValueError("no known update")
+    states = states_after(changes, state)
+    touched = stored(entry_changes(with_round(updates, changes)), "entry-changes")
+    kept = entries.withColumn("is_active", F.lit(True)) if mirror is None else mirror
+    mirror = upsert_mirror(kept, updates)
     people = latest_profile(
         profiles.select("client_id", "trace_id", "profile_hash", "canonical_name", "dob_iso", "created_at")
     )
-    served, versions = entries, used_versions(screening)
-    outcomes = latest_outcome(decision).withColumnRenamed("outcome", "prior_outcome")
-    parts: list[dict[str, DataFrame]] = []
-    for change in change_sets(updates):
-        own = updates.where(
-            (F.col("provider_id") == change.provider_id) & F.col("new_list_version").eqNullSafe(F.lit(change.new_list_version))
+
+    facts = ["client_id", "screened_at", "screening_id", "list_versions"]
+    exact = limit is None and match is not None and not any(s.degraded for s in state)
+    latest = latest_screening(screening.select(*facts, *(["profile_hash", "degraded_providers", "candidates"] if exact else [])))
+    if exact:
+        current = F.size("degraded_providers") == 0
+        for s in state:
+            current &= F.try_element_at("list_versions", F.lit(s.provider_id)).eqNullSafe(F.lit(s.list_version))
+        latest = latest.withColumns({"current": F.coalesce(current, F.lit(False)), "prior_hash": F.col("profile_hash")})
+        latest = latest.drop("profile_hash")
+    else:
+        latest = latest.withColumns({"current": F.lit(False), "prior_hash": F.lit(""), "candidates": F.lit(0).cast("bigint")})
+    # Clients without a normalized profile are skipped: the inner join drops them.
+    told = F.get(F.array(*[F.struct(*[F.lit(c[k]).alias(k) for k in ROUND_FACTS]) for c in changes]), F.col("round"))
+    asked = (
+        affected_rounds(latest, changes, states)
+        .join(latest.withColumnsRenamed({"screening_id": "prior_screening_id", "candidates": "prior_candidates"}).drop("list_versions"), "client_id")
+        .join(people, "client_id")
+        .withColumn("current", F.col("current") & (F.col("prior_hash") == F.col("profile_hash")))
+        .withColumn("f", told)
+        .select("*", "f.*")
+        .withColumn("run_id", run_id())
+        .withColumn("screening_id", stable_id("scr", F.col("run_id"), F.col("client_id")))
+        .withColumn(
+            "rescreen_reason", F.concat_ws(" ", F.lit("list_update"), F.col("provider_id"), F.col("new_list_version"))
         )
-        served = stored(served_list(served, own), "served_list")
-        state = [
-            replace(s, list_version=change.new_list_version) if s.provider_id == change.provider_id else s for s in state
-        ]
-        # Clients without a normalized profile are skipped: the inner join drops them.
-        facts = {k: F.lit(change[k]) for k in ("provider_id", "list_type", "new_list_version", "seq")}
-        asked = (
-            affected_clients(versions, change.provider_id, change.new_list_version)
-            .join(people, "client_id")
-            .withColumns(facts)
-            .withColumn("run_id", run_id())
-            .withColumn("screening_id", stable_id("scr", F.col("run_id"), F.col("client_id")))
-            .withColumn(
-                "rescreen_reason", F.concat_ws(" ", F.lit("list_update"), F.col("provider_id"), F.col("new_list_version"))
+        .drop("f", "prior_hash", "screened_at")
+    )
+    asked = stored(blocking.with_letters(asked), "rescreen")
+
+    parts, counts = [], []
+    if exact:
+        parts += [carried_matches(asked, match, touched), added_matches(asked, entries, touched, state)]
+        moved = candidate_changes(asked.where("current"), entries, touched)
+        counts.append(
+            asked.where("current").join(moved, ["letters", "round"], "left").select(
+                "screening_id", (F.col("prior_candidates") + F.coalesce("change", F.lit(0))).alias("candidates")
             )
         )
-        asked = stored(asked, "rescreen")
-        done = screening_step.screen(asked.drop("provider_id", "list_type"), served, state, limit, "client_id", now)
-        screened = stored(done.screening, "rescreen_screening")
-        decided = stored(rules_engine.decide(screened, done.match, rules, now), "rescreen_decision")
-        new = decided.select("client_id", "screening_id", F.col("outcome").alias("new_outcome"))
-        drift = (
-            asked.select(*facts, "run_id", "client_id", "screening_id", "old_version", "rescreen_reason")
-            .join(new.drop("client_id"), "screening_id")
-            .join(outcomes, "client_id", "left")
-            .withColumn("drift", drift_of(F.col("prior_outcome"), F.col("new_outcome")))
-        )
-        parts.append(
-            {
-                "match": done.match,
-                "screening": screened,
-                "decision": decided,
-                "audit": rules_engine.audit(screened, done.match, decided, rules),
-                "drift": stored(drift, "drift"),
-            }
-        )
-        again = asked.select("client_id")
-        versions = stored(
-            versions.join(again, "client_id", "left_anti").unionByName(screened.select("client_id", "list_versions")),
-            "used_version",
-        )
-        latest = new.select("client_id", F.col("new_outcome").alias("prior_outcome"))
-        outcomes = stored(outcomes.join(again, "client_id", "left_anti").unionByName(latest), "latest_outcome")
-    if not parts:
-        raise ValueError("no known update")
-    all_ = {name: reduce(DataFrame.unionByName, [p[name] for p in parts]) for name in parts[0]}
-    return Reconciled(served, state, mirror, runs=run_rows(updates, all_["drift"], now, now), **all_)
+    if not exact or not asked.where("NOT current").isEmpty():
+        for i, after in enumerate(states):
+            own, list_now = asked.where(F.col("round") == i).where("NOT current"), served_after(entries, touched, i)
+            parts.append(screening_step.matches(own, list_now, after, limit).select("screening_id", "client_id", *MATCH_FACTS))
+            looked = screening_step.lookups(own.drop("provider_id", "list_type", "letters"), list_now, after, limit)
+            counts.append(looked.groupBy("screening_id").agg(F.sum("returned").alias("candidates")))
+    found = reduce(DataFrame.unionByName, [p.withColumn("score", F.col("score").cast("double")) for p in parts])
+    found = found.select(stable_id("mat", F.col("screening_id"), F.col("evidence_ref")).alias("match_id"), "*").select(
+        "match_id", "screening_id", "client_id", *MATCH_FACTS
+    )
+    found = stored(found, "rescreen_match")
+
+    first = asked.groupBy("round", "canonical_name").agg(F.min("client_id").alias("first_client"))
+    reused = (F.col("client_id") > F.col("first_client")).cast("int") * sum(not s.degraded for s in state)
+    rows = asked.join(first, ["round", "canonical_name"]).withColumn("cache_hits", reused)
+    rows = rows.join(reduce(DataFrame.unionByName, counts), "screening_id", "left")
+    versions = F.get(F.array(*[screening_step.list_versions(s) for s in states]), F.col("round"))
+    screened = stored(screening_step.screening_rows(rows, found, versions, state, now), "rescreen_screening")
+    decided = stored(rules_engine.decide(screened, found, rules, now), "rescreen_decision")
+
+    outcomes = latest_outcome(decision).withColumnRenamed("outcome", "initial")
+    new = decided.select("screening_id", F.col("outcome").alias("new_outcome"))
+    drift = asked.select("round", *ROUND_FACTS, "run_id", "client_id", "screening_id", "old_version", "rescreen_reason").join(new, "screening_id")
+    order = Window.partitionBy("client_id").orderBy("round")
+    drift = drift.withColumns({"place": F.row_number().over(order), "before": F.lag("new_outcome").over(order)})
+    drift = drift.join(outcomes, "client_id", "left").withColumn(
+        "prior_outcome", F.when(F.col("place") == 1, F.col("initial")).otherwise(F.col("before"))
+    )
+    drift = stored(drift.withColumn("drift", drift_of(F.col("prior_outcome"), F.col("new_outcome"))).drop("round", "place", "before", "initial"), "drift")
+    return Reconciled(
+        served=served_after(entries, touched, len(changes) - 1),
+        state=states[-1],
+        mirror=mirror,
+        match=found,
+        screening=screened,
+        decision=decided,
+        audit=rules_engine.audit(screened, found, decided, rules),
+        drift=drift,
+        runs=run_rows(updates, drift, now, now),
+    )
 
 
 def scenario_check(drift: DataFrame, expected: DataFrame) -> DataFrame:

@@ -117,28 +117,31 @@ def summarize(
     per_lookup = lookup.groupBy("screening_id").agg(
         F.sum("returned").alias("candidates"), F.sum(F.col("cache_hit").cast("int")).cast("int").alias("cache_hits")
     )
+    return screening_rows(profiles.join(per_lookup, "screening_id", "left"), match, list_versions(state), state, screened_at)
+
+
+def screening_rows(
+    profiles: DataFrame, match: DataFrame, versions: Column, state: list[ProviderState], screened_at: Column
+) -> DataFrame:
+    """Screening rows of profiles that carry their candidates and cache_hits."""
     per_match = match.groupBy("screening_id").agg(
         F.count(F.lit(1)).alias("matches"), F.max("score").alias("max_score")
     )
     degraded = [s.provider_id for s in state if s.degraded]
-    return (
-        profiles.join(per_lookup, "screening_id", "left")
-        .join(per_match, "screening_id", "left")
-        .select(
-            "screening_id",
-            "client_id",
-            "trace_id",
-            "profile_hash",
-            list_versions(state).alias("list_versions"),
-            F.lit("completed").alias("status"),
-            F.lit(len(state)).alias("providers_queried"),
-            F.coalesce("candidates", F.lit(0).cast("bigint")).alias("candidates"),
-            F.coalesce("matches", F.lit(0).cast("bigint")).alias("matches"),
-            F.coalesce("max_score", F.lit(0.0)).alias("max_score"),
-            F.coalesce("cache_hits", F.lit(0)).alias("cache_hits"),
-            F.array(*[F.lit(p) for p in degraded]).cast("array<string>").alias("degraded_providers"),
-            screened_at.alias("screened_at"),
-        )
+    return profiles.join(per_match, "screening_id", "left").select(
+        "screening_id",
+        "client_id",
+        "trace_id",
+        "profile_hash",
+        versions.alias("list_versions"),
+        F.lit("completed").alias("status"),
+        F.lit(len(state)).alias("providers_queried"),
+        F.coalesce("candidates", F.lit(0).cast("bigint")).alias("candidates"),
+        F.coalesce("matches", F.lit(0).cast("bigint")).alias("matches"),
+        F.coalesce("max_score", F.lit(0.0)).alias("max_score"),
+        F.coalesce("cache_hits", F.lit(0)).alias("cache_hits"),
+        F.array(*[F.lit(p) for p in degraded]).cast("array<string>").alias("degraded_providers"),
+        screened_at.alias("screened_at"),
     )
 
 

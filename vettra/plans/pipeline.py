@@ -96,6 +96,7 @@ class Run:
             rules=self.rules,
             limit=self.limit,
             clock=at(RESCREEN_AT),
+            match=self.match,
         )
 
 
