@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vettra import schemas
-from vettra.operators import lists
+from vettra.operators import lists, seen
 from vettra.plans import queries_quality
 from vettra.plans.pipeline import run_for
 from vettra.sources import events, files, tables
@@ -71,6 +71,34 @@ def test_tables_overwrite_a_replayed_batch(spark, folder):
     tables.write_batch(rows, str(folder), "idem", 1)
     assert tables.read_table(spark, str(folder), "idem", schemas.IDEMPOTENCY).count() == 2
     assert tables.read_table(spark, str(folder), "idem", schemas.IDEMPOTENCY, 1).count() == 1
+    read = lambda: tables.read_table(spark, str(folder), "idem", schemas.IDEMPOTENCY, job="j")
+    assert read().count() == 0
+    tables.publish(spark, str(folder), "j", 1, ["idem", "other"])
+    assert [r.batch_id for r in read().collect()] == [1] and tables.is_published(spark, str(folder), "j", 1)
+
+
+def test_key_index(spark, folder):
+    """What passes the index covers what is stored, with few false alarms; only such folders are opened."""
+    root, n = str(folder), 4_000
+    for batch in range(6):
+        rows = spark.range(batch * n, batch * n + (0 if batch == 5 else n)).select(F.col("id").cast("string").alias("key"), F.lit("x").alias("owner"))
+        tables.write_batch(rows, root, "t", batch)
+        tables.write_index(rows, root, "t", ["key"], batch)
+        tables.write_index(rows, root, "t", ["key", "owner"], batch)
+    asked = spark.createDataFrame([(str(i), "x") for i in (5, n - 1, 3 * n)], "key string, owner string")
+    for keys in (["key"], ["key", "owner"]):
+        opened = tables.batches_to_open(asked, root, "t", keys)
+        assert {0, 3} <= set(opened) and len(opened) <= 3
+    assert tables.batches_to_open(asked.limit(0), root, "t", ["key"]) == tables.batches_to_open(asked, root, "none", ["key"]) == []
+    strange = spark.range(10**6, 10**6 + 500).select(F.col("id").cast("string").alias("key"))
+    one = tables._read(spark, f"{root}/key_index/t.key", seen.INDEX)
+    told = strange.collect()
+    alarms = sum(seen.batches_with(strange.where(F.col("key") == r.key), ["key"], one).count() for r in told[:20])
+    assert alarms <= 3
+    history = tables.read_table(spark, root, "t", "key string").where(F.col("batch_id").isin(tables.batches_to_open(asked, root, "t", ["key"])))
+    assert history.join(asked, "key", "left_semi").count() == 3
+    files_read = [f for f in history._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in f]
+    assert "batch_id" in files_read[0]
 
 
 def test_streams_end_to_end(spark, folder):

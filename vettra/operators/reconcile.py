@@ -177,6 +177,24 @@ def states_after(changes: list[Row], state: list[ProviderState]) -> list[list[Pr
     return out
 
 
+def _number(version: str | None) -> int:
+    digits = (version or "").lstrip("vV").strip()
+    return int(digits) if digits.isascii() and digits.lstrip("+-").isdigit() and len(digits) < 18 else 0
+
+
+def is_silent(changes: list[Row], state: list[ProviderState]) -> bool:
+    """Whether a change set has a version that outdates nobody who is up to date.
+
+    Then the list may differ from what up-to-date clients were screened against, and their stored matches do not tell.
+    """
+    newest = {s.provider_id: _number(s.list_version) for s in state}
+    for change in changes:
+        if _number(change.new_list_version) <= newest.get(change.provider_id, 0):
+            return True
+        newest[change.provider_id] = _number(change.new_list_version)
+    return False
+
+
 def with_round(updates: DataFrame, changes: list[Row]) -> DataFrame:
     """Each update's round: the place of its change set in the order of arrival."""
     same = [

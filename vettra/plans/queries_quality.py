@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vettra import schemas
 from vettra.constants import PIPELINE_STAGES
 from vettra.functions.fields import message_key
 from vettra.operators import decide, evaluation, lists, metrics, monitors, normalize, screen, stagelog, validate
 from vettra.plans import fixtures as fx
+from vettra.plans import pipeline
 from vettra.plans.oracle import LIST_TYPE, _sid, with_ctes
 from vettra.plans.pipeline import Run, run_for
 from vettra.plans.queries import _DECISIONS, _DRIFT, _OWN_SCORED, _SUBMITTED, _degraded_state, _submitted, _with_own_entry, joined, query
@@ -630,5 +632,100 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.run_once(work.start_normalize(events.read_topic_files(spark, f"{root}/client_submitted"), once=True))
     jobs.run_once(work.start_screen(once=True))
     jobs.run_once(work.start_decide(once=True))
-    decided = spark.read.parquet(f"{root}/decision")
+    decided = work.table("decision", schemas.DECISION)
     return decided.select("client_id", "trace_id", "outcome", joined("reason_codes").alias("reason_codes"))
+
+
+def update_messages(updates: DataFrame) -> DataFrame:
+    """List updates as delivered messages of the one-partition topic, in their order."""
+    payload = F.struct("provider_id", "list_type", "change", "entry", "new_list_version")
+    told = updates.withColumns({"trace_id": F.concat(F.lit("upd_"), F.col("seq")), "client_id": F.col("provider_id")})
+    event = events.envelope("watchlist.updated", "list-feed", payload, pipeline.at(pipeline.RESCREEN_AT))
+    return told.select(
+        F.lit("watchlist.updated").alias("topic"), F.lit(0).alias("partition"), F.col("seq").cast("bigint").alias("offset"),
+        F.col("provider_id").alias("key"), F.to_json(event).alias("value"), pipeline.at(pipeline.RESCREEN_AT).alias("timestamp"),
+    )
+
+
+def stored_run(spark: SparkSession, sf_dir: str, root: str) -> jobs.Jobs:
+    """Jobs over a folder that holds the run's profiles, screenings, matches and decisions as published batches."""
+    run = run_for(spark, sf_dir)
+    work = jobs.Jobs(spark, root, lambda: (run.entries.drop("j"), lists.default_state()))
+    parts = {"normalized_profile": run.profiles, "screening": run.screening, "match": run.match, "decision": run.decision}
+    for name, rows in parts.items():
+        if name == "match":
+            rows = rows.withColumn("score", F.col("score").cast("decimal(5,4)"))
+        tables.write_batch(rows, root, name, 0)
+    for job, names in (("normalize", ["normalized_profile"]), ("screen", ["screening", "match"]), ("decide", ["decision"])):
+        tables.publish(spark, root, job, 0, names)
+    return work
+
+
+@query(
+    with_ctes(
+        "SELECT e.entry_id, e.entity_name, CASE WHEN u.j IS NULL THEN 'v1' ELSE 'v3' END AS list_version, true AS is_active "
+        "FROM entry e LEFT JOIN (SELECT j FROM upd WHERE change = 'remove') u ON e.j = u.j",
+        "entry", "upd",
+    )
+)
+def stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries removed in one batch and added again under other names in the next: the mirror outlives the batches."""
+    root, run = _stream_root(spark), run_for(spark, sf_dir)
+    work = stored_run(spark, sf_dir, root)
+    removed = run.updates.where("change = 'remove'")
+    again = removed.withColumns({"change": F.lit("add"), "new_list_version": F.lit("v3"), "seq": F.col("seq") + 1_000_000})
+    for name, batch in (("first", removed), ("second", again)):
+        update_messages(batch).write.parquet(f"{root}/updates/{name}")
+        jobs.run_once(work.start_reconcile(events.read_topic_files(spark, f"{root}/updates/*"), once=True))
+    shape = "entry_id string, entity_name string, list_version string, is_active boolean"
+    mirror = work.table("list_mirror", shape).where(F.col("batch_id") == work.last_lists())
+    return mirror.select("entry_id", "entity_name", "list_version", "is_active")
+
+
+@query(
+    with_ctes(
+        "SELECT 'invalid_json' AS error_type, ((k + 1000000000) % 3)::INTEGER AS part, (k + 1000000000) // 3 AS place FROM base "
+        "WHERE k % 50 = 0 UNION ALL SELECT 'missing_raw_profile', (k % 3)::INTEGER, k // 3 FROM base WHERE k % 7 = 0",
+        "base",
+    )
+)
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken messages, and submissions of clients without a raw profile, leave the normalize stream as dead letters."""
+    root, run = _stream_root(spark), run_for(spark, sf_dir)
+    submission_messages(spark, sf_dir).write.parquet(f"{root}/client_submitted")
+    raw = run.raw.where("k % 7 <> 0")
+    work = jobs.Jobs(spark, root, lambda: (run.entries, lists.default_state()), raw=lambda: raw)
+    jobs.run_once(work.start_normalize(events.read_topic_files(spark, f"{root}/client_submitted"), once=True))
+    bad = work.table("dead_letter", schemas.DEAD_LETTER)
+    return bad.select("error_type", F.col("partition").alias("part"), F.col("offset").alias("place")).distinct()
+
+
+class BrokenOff(RuntimeError):
+    """Stands for an executor or driver lost in the middle of a batch."""
+
+
+@query(with_ctes("SELECT 'cli_' || k AS client_id, name AS canonical_name, (k % 3)::INTEGER AS batch FROM base", "base"))
+def stream_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches; each breaks off after its second table was written, is not seen by readers, and runs again."""
+    root, run = _stream_root(spark), run_for(spark, sf_dir)
+    sent = submission_messages(spark, sf_dir)
+
+    class Breaking(jobs.Jobs):
+        def write(self, rows: DataFrame, table: str, batch_id: int) -> None:
+            super().write(rows, table, batch_id)
+            if table == "normalized_profile":
+                raise BrokenOff
+
+    arguments = spark, root, lambda: (run.entries, lists.default_state())
+    for batch in range(3):
+        own = sent.where(F.col("partition") == batch)
+        try:
+            Breaking(*arguments).normalize_batch(own, batch)
+        except BrokenOff:
+            pass
+        seen = jobs.Jobs(*arguments).table("normalized_profile", schemas.NORMALIZED_PROFILE)
+        if not seen.where(F.col("batch_id") == batch).isEmpty():
+            raise AssertionError("rows of an unpublished batch were read")
+        jobs.Jobs(*arguments).normalize_batch(own, batch)
+    rows = jobs.Jobs(*arguments).table("normalized_profile", schemas.NORMALIZED_PROFILE)
+    return rows.select("client_id", "canonical_name", F.col("batch_id").alias("batch"))
