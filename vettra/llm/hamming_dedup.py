@@ -363,10 +363,15 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     verdicts = linked(docs, size, percent).where("n_shingles > 0 AND doc_id IS NOT NULL")
     by_id = stored(verdicts.groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("n")), "verdicts")
     has_words = F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]")
-    inner = [F.col(f"`{c}`") for c in docs.columns]
-    told = docs.select(F.when(has_words, F.col("doc_id").cast("bigint")).alias("key"), F.struct(*inner).alias("row"))
-    apart = by_id.where("NOT kept OR n > 1").select(F.col("doc_id").alias("key"))
-    alone = told.join(apart, "key", "left_anti").select("row")
-    often = told.join(by_id.where("kept AND n > 1").select(F.col("doc_id").alias("key")), "key", "left_semi")
-    one = often.groupBy("key").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row")
-    return alone.unionByName(one).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    has_id = F.col("doc_id").cast("bigint").isNotNull() & F.coalesce(has_words, F.lit(False))
+    # Rows that no verdict is about have a salt that no verdict has; so they are spread and never met.
+    told = docs.select(
+        F.when(has_id, F.col("doc_id").cast("bigint")).otherwise(0).alias("key"),
+        F.when(has_id, 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(997))).alias("salt"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+    apart = by_id.where("NOT kept OR n > 1").select(F.col("doc_id").alias("key"), F.lit(0).cast("bigint").alias("salt"), "kept")
+    # Verdicts grow with the documents: the same plan at every size, not a broadcast while they are few.
+    met = told.withColumn("salt", F.col("salt").cast("bigint")).join(apart.hint("merge"), ["key", "salt"], "left")
+    one = met.where("kept").groupBy("key").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return met.where("kept IS NULL").select("row").unionByName(one.select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
