@@ -66,7 +66,7 @@ class Automaton:
             states += 1
         self.states = states
         self.owner = {state: token for token, state in enumerate(self.target)}
-        self.arcs = Memo(self._arc, 250_000)
+        self.arcs = Memo(self._arc, 100_000)
 
     def _arc(self, key: int) -> bool:
         """Whether the state ``key >> 32`` has the arc ``key & 0xFFFFFFFF``."""
@@ -130,7 +130,7 @@ def load(path: str) -> Automaton:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     automaton = load(path)
-    return PieceEncoder(lambda word: automaton.encode_word(word.encode()), automaton.specials)
+    return PieceEncoder(lambda word: automaton.encode_word(word.encode()), automaton.specials, 150_000)
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id bigint",)) -> DataFrame:

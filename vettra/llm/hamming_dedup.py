@@ -62,7 +62,7 @@ class Shingles:
         import xxhash
 
         self.size = size
-        self.word = Memo(xxhash.xxh3_64_intdigest, 200_000)
+        self.word = Memo(xxhash.xxh3_64_intdigest, 80_000)
 
     def of(self, text: str | None) -> np.ndarray:
         """Words are runs without ASCII white space, with A-Z in lower case. Fewer words than a shingle are one."""
