@@ -10,7 +10,8 @@ and are worked out on first use: an arc ``t`` is missing when a gadget removed `
 edge of ``t`` before the next token of that edge was made. They are then kept in the transition table.
 
 Words are encoded left to right by the longest arc that fits, going back to a shorter one from a dead end. A prefix of a
-word has one path at most, so no position is left twice and the work stays within length times longest label.
+word has one path at most, so no position is left twice and the work stays within length times longest label. The start
+state has an arc for every token, so a word that is itself a token is one transition; no word passes the automaton by.
 """
 
 from __future__ import annotations
@@ -43,15 +44,12 @@ class Automaton:
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]], specials: dict[str, int]):
         top = max([*vocab.values(), *specials.values()], default=-1) + 1
-        self.ids, self.specials = vocab, specials
+        self.specials = specials
         self.labels: list[bytes] = [b""] * top
         for label, i in vocab.items():
             self.labels[i] = label
         for text, i in specials.items():
             self.labels[i] = text.encode()
-        self.reach: dict[bytes, int] = {}  # three bytes -> length of the longest label that begins so
-        for label in vocab:
-            self.reach[label[:3]] = max(len(label), self.reach.get(label[:3], 2))
         self.left, self.right = [-1] * top, [-1] * top
         self.made = [-1] * top  # the merge that made the token; bytes were there before
         self.cut: dict[int, int] = {}  # (a, b) -> the merge whose gadget removed arc b behind a
@@ -65,6 +63,11 @@ class Automaton:
             self.target[a] = states
             states += 1
         self.states = states
+        # what the automaton has arcs for: bytes, and tokens that some merge makes
+        self.ids = {label: i for label, i in vocab.items() if len(label) == 1 or self.made[i] >= 0}
+        self.reach: dict[bytes, int] = {}  # three bytes -> length of the longest label that begins so
+        for label in self.ids:
+            self.reach[label[:3]] = max(len(label), self.reach.get(label[:3], 2))
         self.owner = {state: token for token, state in enumerate(self.target)}
         self.arcs = Memo(self._arc, 100_000)
 
@@ -86,9 +89,6 @@ class Automaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         """The labels of the one path that spells ``word``."""
-        whole = self.ids.get(word)
-        if whole is not None and (len(word) == 1 or self.made[whole] >= 0):
-            return [whole]
         ids, arcs, target, reach, n = self.ids, self.arcs, self.target, self.reach, len(word)
         path, state, begin, end = [], 0, 0, reach.get(word[:3], 2)
         while begin < n:
