@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -29,9 +32,12 @@ def pool(spark):
     return rows, spark.createDataFrame(rows, SCHEMA).withColumns({"n": F.lit("clash"), "view": F.lit("clash")})
 
 
+features = lru_cache(cotraining.word_features)
+
+
 def plain_sets(row):
-    words = (row[1] or "").split()
-    return {b for w in words for b in cotraining.word_features(w)}, set(cotraining.page_features(row[3], row[2], row[4]))
+    words = set((row[1] or "").split())
+    return {b for w in words for b in features(w)}, set(cotraining.page_features(row[3], row[2], row[4]))
 
 
 def plain_logit(view, buckets):
@@ -158,3 +164,22 @@ def test_vocabulary_entries_are_one_transition():
     assert len(automaton.ids) == automaton.states + 255  # bytes, and one token a merge
     assert all(automaton.encode_word(label) == [i] for label, i in automaton.ids.items())
     assert automaton.encode_word("unbelievablyq".encode()) == brute.ids("unbelievablyq")
+
+
+def test_word_buckets_equal_plain_ones():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("aAbZ019-_.,!\u00e9\u00c9\u00df\u4e2d\u00b2\u0663'") for _ in range(rng.randrange(7))) for _ in range(3000)]
+    words += ["", "x" * 100_000, "!!", LONG]
+
+    def bucket(text, seed):
+        power, total, golden, mask = 1, seed, int(cotraining.GOLDEN), 2**64 - 1
+        for byte in text.encode():
+            power = power * golden & mask
+            total += (byte + 1) * power
+        mixed = (total & mask ^ (total & mask) >> 29) * golden & mask
+        return (mixed ^ mixed >> 32) % cotraining.BUCKETS
+
+    got = cotraining.word_buckets(pa.array(words)).tolist()
+    bare = [re.sub(r"^\W+|\W+$", "", w).lower() for w in words]
+    assert got == [[bucket(b, 0), bucket(cotraining.shape(w), 1)] for b, w in zip(bare, words, strict=True)]
+    assert cotraining.word_buckets(pa.array([], pa.string())).shape == (0, 2)

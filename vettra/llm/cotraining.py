@@ -25,11 +25,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vettra.llm.common import Memo, arrow_map, columns, stored
+from vettra.llm.common import arrow_map, columns, stored
 
 BUCKETS = 1 << 18
 TOLD_WEIGHT = 0.3  # of a document that the other view labelled
 _CORE = re.compile(r"^\W+|\W+$")
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # odd, 2**64 over the golden ratio
+_LETTERS = [chr(b) for b in range(256)]
+_WORD_BYTE = np.array([c.isascii() and (c.isalnum() or c == "_") for c in _LETTERS])
+_LOWER = np.array([ord(c.lower()) if c.isascii() else ord(c) for c in _LETTERS], "u1")
+_KIND = _LOWER.copy()
+for _first, _last in ("AZ", "az", "09"):
+    _KIND[ord(_first) : ord(_last) + 1] = ord(_first)
 
 
 def shape(word: str) -> str:
@@ -38,12 +45,46 @@ def shape(word: str) -> str:
     return "".join(kind for kind, _ in groupby(kinds))
 
 
-def word_features(word: str) -> tuple[int, int]:
-    """Buckets of the bare lower-case word and of its shape."""
-    import xxhash
+def _buckets(data: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
+    """A polynomial hash of each run of bytes, mixed, as a bucket."""
+    end = np.cumsum(lengths)
+    place = np.arange(len(data)) - np.repeat(end - lengths, lengths)
+    powers = np.cumprod(np.full(lengths.max(initial=0), GOLDEN, "u8"))
+    sums = np.concatenate([np.zeros(1, "u8"), np.cumsum((data.astype("u8") + np.uint64(1)) * powers[place], dtype="u8")])
+    h = sums[end] - sums[end - lengths] + np.uint64(seed)
+    h = (h ^ h >> np.uint64(29)) * GOLDEN
+    return ((h ^ h >> np.uint64(32)) % np.uint64(BUCKETS)).astype("i8")
+
+
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an array of strings that is no slice, and the length of each."""
+    lengths = np.asarray(pc.binary_length(words)).astype("i8")
+    return np.frombuffer(words.buffers()[2] or b"", "u1")[: lengths.sum()], lengths
+
+
+def word_buckets(words: pa.Array) -> np.ndarray:
+    """(words, 2): buckets of the bare lower-case word and of its shape. ASCII words are worked out together."""
+    out = np.zeros((len(words), 2), "i8")
+    plain = np.asarray(pc.string_is_ascii(words))
+    data, lengths = _bytes(pc.filter(words, pa.array(plain)))
+    end, word = np.cumsum(lengths), np.repeat(np.arange(len(lengths)), lengths)
+    seen = np.concatenate([[0], np.cumsum(_WORD_BYTE[data])])
+    before, after = seen[(end - lengths)[word]], seen[end[word]]
+    inside = (seen[1:] > before) & (seen[:-1] < after)  # from the first to the last word byte
+    kind = _KIND[data]
+    turn = np.ones(len(data), bool)
+    turn[1:] = (kind[1:] != kind[:-1]) | (word[1:] != word[:-1])
+    for column, (value, keep) in enumerate(((_LOWER[data], inside), (kind, turn))):
+        out[plain, column] = _buckets(value[keep], np.bincount(word[keep], minlength=len(lengths)), column)
+    rest = pc.filter(words, pa.array(~plain)).to_pylist()
+    for column, made in enumerate(([_CORE.sub("", w).lower() for w in rest], [shape(w) for w in rest])):
+        out[~plain, column] = _buckets(*_bytes(pa.array(made, pa.string())), column)
+    return out
+
 
-    bare = _CORE.sub("", word).lower()
-    return xxhash.xxh3_64_intdigest(f"w {bare}") % BUCKETS, xxhash.xxh3_64_intdigest(f"s {shape(word)}") % BUCKETS
+def word_features(word: str) -> tuple[int, int]:
+    """``word_buckets`` of one word."""
+    return tuple(word_buckets(pa.array([word]))[0].tolist())
 
 
 def page_features(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
@@ -55,11 +96,6 @@ def page_features(source: str | None, lang: str | None, n_chars: int | None) ->
     return sorted({xxhash.xxh3_64_intdigest(x) % BUCKETS for x in told})
 
 
-def memo() -> Memo:
-    """Features by word; long words are worked out each time."""
-    return Memo(word_features, 100_000, lambda word: len(word) < 64)
-
-
 def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Runs of whole rows with about ``most_bytes`` of text, so that memory depends on the longest text alone."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype("i8")
@@ -82,14 +118,13 @@ class Words:
     blank: np.ndarray
 
     @classmethod
-    def of(cls, text: pa.Array, features: Memo) -> Words:
+    def of(cls, text: pa.Array) -> Words:
         split = pc.utf8_split_whitespace(pc.fill_null(text, ""))
         doc = np.repeat(np.arange(len(text)), np.asarray(pc.list_value_length(split)))
         coded = split.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        table = np.array([features[w] for w in known], "i8").reshape(-1, 2)
         code = np.asarray(coded.indices)
-        real = np.array([w != "" for w in known], bool)[code]
+        table = word_buckets(coded.dictionary)
+        real = np.asarray(pc.binary_length(coded.dictionary))[code] > 0
         blank = np.ones(len(text), bool)
         blank[doc[real]] = False
         return cls(doc[real], table[code[real]], blank)
@@ -261,9 +296,9 @@ def _cases(docs: DataFrame, ids: DataFrame) -> list[Cases]:
     once = found.agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("x")).select("view", "doc_id", "good", "x.*")
 
     def run(batch):
-        features, content = memo(), []
+        content = []
         for part in slices(batch):
-            sets = Words.of(part.column("text"), features).sets(np.ones(part.num_rows, bool))
+            sets = Words.of(part.column("text")).sets(np.ones(part.num_rows, bool))
             cut = np.searchsorted(sets >> 32, np.arange(1, part.num_rows))
             content += np.split((sets & 0xFFFFFFFF).astype("i4"), cut)
         kept = {name: batch.column(name) for name in ("view", "doc_id", "good")}
@@ -296,7 +331,7 @@ def sure(docs: DataFrame, model: Model, doubt: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most a few thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        views, features = shared.value.views, memo()
+        views = shared.value.views
         counts = np.zeros((2, 2, BUCKETS), "i8")
         kind = pa.schema([("view", pa.int32()), ("good", pa.int32()), ("doc_id", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
 
@@ -309,7 +344,7 @@ def sure(docs: DataFrame, model: Model, doubt: float) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch):
-                words, pages = Words.of(part.column("text"), features), _pages(part)
+                words, pages = Words.of(part.column("text")), _pages(part)
                 able = ~words.blank & np.asarray(part.column("doc_id").is_valid())
                 chances = [sigmoid(views[0].logit(views[0].hits(words))), sigmoid(views[1].logit(views[1].matrix(pages)))]
                 for view in (0, 1):
@@ -358,9 +393,9 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
         m, n = shared.value, batch.num_rows
         if m is None:
             return {"doc_id": batch.column("doc_id"), "content_score": [None] * n, "page_score": [None] * n, "score": [None] * n}
-        features, content, blank = memo(), [np.zeros(0)], [np.zeros(0, bool)]
+        content, blank = [np.zeros(0)], [np.zeros(0, bool)]
         for part in slices(batch):
-            words = Words.of(part.column("text"), features)
+            words = Words.of(part.column("text"))
             content.append(m.content.logit(m.content.hits(words)))
             blank.append(words.blank)
         content, blank = np.concatenate(content), np.concatenate(blank)
