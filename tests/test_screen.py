@@ -126,6 +126,24 @@ def test_pages_are_first_by_entry_id(spark):
     assert totals == {"ac": 20, "b": 10}
 
 
+def test_totals_over_many_bitmaps_and_tasks(spark):
+    row = F.struct(F.concat_ws(" ", F.chr(97 + F.col("id") % 23), F.chr(97 + F.floor(F.col("id") / 7) % 19)).alias("n"))
+    entries = spark.range(0, 100_000, 1, 5).select(
+        F.col("id"), F.when(F.col("id") % 10 < 3, "a").otherwise("b").alias("provider_id"), row.n.alias("entity_name"),
+        F.lit(None).cast("array<string>").alias("aliases"),
+    )
+    sets = ["a", "ab", "st", "xyz", "abcdefghijklmnopqrstuvwxyz"]
+    got = blocking.candidate_totals(spark.createDataFrame([(s,) for s in sets], "letters string"), entries).collect()
+    want = {}
+    for i in range(100_000):
+        own = {chr(97 + i % 23), chr(97 + i // 7 % 19)}
+        for s in sets:
+            if own & set(s):
+                key = s, "a" if i % 10 < 3 else "b"
+                want[key] = want.get(key, 0) + 1
+    assert {(r.letters, r.provider_id): r.total for r in got} == want
+
+
 def test_parity_differences(spark):
     a = spark.createDataFrame([(1,), (2,)], "x int")
     b = spark.createDataFrame([(2,), (3,)], "x int")

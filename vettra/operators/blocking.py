@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from vettra.constants import LOOKUP_PAGE
 from vettra.functions import names
 from vettra.operators.lists import entry_letters
+from vettra.session import stored
+
+ROW_BITS = 33  # of a generated row number, below the task's
 
 
 def with_letters(profiles: DataFrame, name: str = "canonical_name") -> DataFrame:
@@ -23,19 +26,38 @@ def _letters_of(sets: DataFrame) -> DataFrame:
     return sets.select("letters", F.explode(F.split("letters", "")).alias("letter")).where("letter <> ''")
 
 
+def letter_index(entries: DataFrame) -> DataFrame:
+    """(provider_id, letter, bucket, bits): the entries with a letter, as bitmaps of 32,768 entries each.
+
+    Bits need dense numbers. A writing task numbers its own rows; the numbers are read back from its file, so a task that
+    runs again cannot shift them, and a running sum over the tasks' counts (one row a task) closes the gaps.
+    """
+    kept = stored(
+        entries.select("provider_id", entry_letters(entries).alias("entry_letters"), F.monotonically_increasing_id().alias("id")),
+        "entry-letters",
+    )
+    kept = kept.withColumn("task", F.shiftright("id", ROW_BITS))
+    before = F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    counts = kept.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("task", F.coalesce(before, F.lit(0)).alias("start"))
+    in_task = F.col("id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    numbered = kept.join(starts, "task").withColumn("number", F.col("start") + in_task + 1)
+    return (
+        numbered.select("provider_id", "number", F.explode("entry_letters").alias("letter"))
+        .groupBy("provider_id", "letter", F.bitmap_bucket_number("number").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    )
+
+
 def candidate_totals(letter_sets: DataFrame, entries: DataFrame) -> DataFrame:
     """(letters, provider_id, total): entries that share a letter, before any page is cut.
 
-    Entries are first counted per (provider, letter set); only those counts meet the query sets.
+    A set's candidates are the union of its letters' bitmaps: query sets never meet entries or their letter sets.
     """
-    counted = entries.groupBy("provider_id", entry_letters(entries).alias("entry_letters")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    by_letter = counted.select("*", F.explode("entry_letters").alias("letter"))
-    met = _letters_of(letter_sets.select("letters").distinct()).join(by_letter, "letter")
+    met = _letters_of(letter_sets.select("letters").distinct()).join(letter_index(entries), "letter")
     return (
-        met.groupBy("letters", "provider_id", "entry_letters")
-        .agg(F.first("n").alias("n"))
+        met.groupBy("letters", "provider_id", "bucket")
+        .agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
         .groupBy("letters", "provider_id")
         .agg(F.sum("n").alias("total"))
     )
