@@ -4,9 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from reference_model import lcs, score
-from vettra.functions import similarity
+from reference_model import lcs, letters, score
+from vettra.functions import names, similarity
 from vettra.operators import evaluation
+from vettra.plans import fixtures, queries
 
 # (profile, candidate, date relation, score) with the label score >= 0.82
 GOLDEN = [
@@ -51,6 +52,8 @@ def test_lcs_matches_plain_dynamic_programme(spark):
     rng = random.Random(3)
     text = lambda n: "".join(rng.choice("abcdef g'z") for _ in range(rng.randint(0, n)))
     rows = [(a := text(n), b := text(n), lcs(a, b)) for n in (4, 20, 61, 62, 63, 80) for _ in range(40)]
+    rows += [(a := text(n), b := text(n), lcs(a, b)) for n in (124, 125, 400, 1000) for _ in range(5)]
+    rows += [("a" * n, "a" * m, min(n, m)) for n in (62, 124, 186) for m in (61, 62, 123, 125, 200)]
     frame = spark.createDataFrame(rows, "a string, b string, want int")
     got = frame.withColumn("got", similarity.lcs_length(F.col("a"), F.col("b")))
     assert got.where("got is null or got <> want").count() == 0
@@ -70,3 +73,26 @@ def test_threshold_is_inclusive_and_swap_keeps_the_score(spark):
 
 def test_letter_order_covers_the_alphabet():
     assert sorted(similarity.RARE_FIRST) == sorted("abcdefghijklmnopqrstuvwxyz0123456789_'- ")
+
+
+def test_long_names_of_documents_match_like_a_plain_programme(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["ivan", "petrov", "Anna", "smith,", "o'neil", "garcia", "été", "li", "2nd", "von"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    same = text(60)
+    texts = [text(8), same, same, text(330), text(700), "", None, "-", "a" * 1001, "x\ny z"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    clients, entries = fixtures.long_names(spark, str(tmp_path))
+    name = lambda c: names.canonical_name(F.col(c)).alias("name")
+    listed = [r for r in entries.select("entry_id", "dob_iso", name("entity_name")).collect() if r.name]
+    want = {}
+    for c in clients.collect():
+        for e in listed:
+            if c.dob_iso == e.dob_iso and letters(c.canonical_name) & letters(e.name):
+                got = score(c.canonical_name, e.name, c.dob_iso, e.dob_iso)
+                if got >= 0.82:
+                    want[c.doc_id, c.passage, e.entry_id] = got
+    rows = queries.QUERIES["matches_long_names"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.passage, r.entry_id): r.score for r in rows} == want and len(rows) == len(want)
+    assert max(r.letters for r in rows) > 800

@@ -1,7 +1,8 @@
 """Name similarity: twice the longest common subsequence over the summed lengths, as native expressions.
 
-The subsequence length is found bit-parallel (Allison and Dix; Hyyro): one long holds a whole row of the dynamic
-programme. One side's letter masks are computed once per name, the other side is a fold over its letters.
+The subsequence length is found bit-parallel (Allison and Dix; Hyyro): words of 62 bits hold a whole row of the dynamic
+programme, and the carry of each addition is passed on to the next word. One side's letter masks are computed once per
+name, the other side is a fold over its letters. Names of all lengths take this one way.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from vettra.constants import DIFFERENT_DOB_CAP, SAME_DOB_BOOST, SCORE_DIGITS
 from vettra.functions.binding import bind
 from vettra.functions.names import canonical_name, token_sorted
 
-# v + (v & m) stays within a signed long up to this many letters (Spark checks overflow).
-MASK_LETTERS = 62
+# Bits of a word: v + (v & m) + carry stays within a signed long (Spark checks overflow).
+WORD_BITS = 62
+WORD_FULL = (1 << WORD_BITS) - 1
 FIRST_CODE, LAST_CODE = 32, 122  # canonical names hold ASCII from the space to z
 
 # Letters of Latin names, rare first. Only speed depends on this order.
@@ -41,21 +43,40 @@ def repeat_of(code: Column) -> Column:
     return ((rank + 65536 - F.shiftright(code, 8)) / 12).cast("int")
 
 
+def mask_words(name: Column) -> Column:
+    """How many words a row of the programme takes for a name."""
+    return F.ceil(F.length(name) / WORD_BITS).cast("int")
+
+
 def letter_masks(name: Column) -> Column:
-    """array<bigint> by character code: bit i is set where the name's letter i is that character."""
-    bits = F.transform(
-        letter_codes(F.substring(name, 1, MASK_LETTERS)),
-        lambda code, i: F.struct(code.alias("code"), F.pow(F.lit(2.0), i).cast("bigint").alias("bit")),
-    )
-    return bind(
-        bits,
-        lambda known: F.transform(
+    """array<array<bigint>> by character code, null for characters the name lacks: bit i of word w is set where the
+    name's letter 62 w + i is that character."""
+
+    def by_slot(known: Column) -> Column:
+        def words_of(found: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), known.words - 1),
+                lambda w: F.aggregate(
+                    found, F.lit(0).cast("bigint"), lambda acc, b: acc + F.when(b.word == w, b.bit).otherwise(0)
+                ),
+            )
+
+        return F.transform(
             F.sequence(F.lit(0), F.lit(LAST_CODE - FIRST_CODE)),
-            lambda slot: F.aggregate(
-                F.filter(known, lambda b: b.code == slot), F.lit(0).cast("bigint"), lambda acc, b: acc + b.bit
+            lambda slot: bind(
+                F.filter(known.bits, lambda b: b.code == slot), lambda found: F.when(F.size(found) > 0, words_of(found))
             ),
+        )
+
+    bits = F.transform(
+        letter_codes(name),
+        lambda code, i: F.struct(
+            code.alias("code"),
+            F.floor(i / WORD_BITS).cast("int").alias("word"),
+            F.pow(F.lit(2.0), i % WORD_BITS).cast("bigint").alias("bit"),
         ),
     )
+    return bind(F.struct(bits.alias("bits"), mask_words(name).alias("words")), by_slot)
 
 
 def letter_codes(name: Column) -> Column:
@@ -63,50 +84,37 @@ def letter_codes(name: Column) -> Column:
     return F.transform(F.split(name, ""), lambda c: F.ascii(c) - FIRST_CODE)
 
 
-def _lcs_masked(masks: Column, length: Column, codes: Column) -> Column:
-    full = F.pow(F.lit(2.0), F.least(length, F.lit(MASK_LETTERS))).cast("bigint") - 1
-
-    def fold(bound: Column) -> Column:
-        def step(v: Column, code: Column) -> Column:
-            hit = v.bitwiseAND(F.coalesce(F.get(bound.masks, code), F.lit(0).cast("bigint")))
-            return (v + hit).bitwiseOR(v - hit).bitwiseAND(bound.full)
+def _next_row(row: Column, mask: Column) -> Column:
+    """The row after one more letter: (v + (v & m)) | (v & ~m), the addition running over all words."""
 
-        return F.aggregate(codes, bound.full, step)
+    def word(acc: Column, v: Column) -> Column:
+        hit = v.bitwiseAND(F.get(mask, F.size(acc.row)))
+        total = v + hit + acc.carry
+        return F.struct(
+            F.array_append(acc.row, total.bitwiseAND(F.lit(WORD_FULL)).bitwiseOR(v - hit)).alias("row"),
+            F.shiftright(total, WORD_BITS).alias("carry"),
+        )
 
-    return length - F.bit_count(bind(F.struct(masks.alias("masks"), full.alias("full")), fold))
+    start = F.struct(F.array().cast("array<bigint>").alias("row"), F.lit(0).cast("bigint").alias("carry"))
+    return F.aggregate(row, start, word, lambda acc: acc.row)
 
 
-def _lcs_long(a: Column, b: Column) -> Column:
-    """Row by row, for names longer than one long: new[j] is the running maximum of old[j] and old[j-1] + hit."""
-
-    def fold(letters: Column) -> Column:
-        def row(old: Column, cb: Column) -> Column:
-            reached = F.transform(
-                letters,
-                lambda ca, j: F.greatest(
-                    F.get(old, j),
-                    F.coalesce(F.when(j > 0, F.get(old, F.greatest(j - 1, F.lit(0)))), F.lit(0))
-                    + (ca == cb).cast("int"),
-                ),
-            )
-            return F.aggregate(
-                reached,
-                F.array().cast("array<int>"),
-                lambda acc, x: F.concat(acc, F.array(F.greatest(x, F.coalesce(F.try_element_at(acc, F.lit(-1)), x)))),
-            )
+def lcs_length(a: Column, b: Column, a_masks: Column | None = None, b_codes: Column | None = None) -> Column:
+    """Longest common subsequence of two canonical names: the zero bits of the last row."""
+    masks = letter_masks(a) if a_masks is None else a_masks
+    codes = letter_codes(b) if b_codes is None else b_codes
 
-        return F.aggregate(F.split(b, ""), F.transform(letters, lambda _c: F.lit(0)), row)
+    def fold(known: Column) -> Column:
+        def step(row: Column, code: Column) -> Column:
+            # A letter that the other name lacks leaves the row as it is.
+            return bind(F.get(known, code), lambda mask: F.when(mask.isNull(), row).otherwise(_next_row(row, mask)))
 
-    return F.coalesce(F.try_element_at(bind(F.split(a, ""), fold), F.lit(-1)), F.lit(0))
+        def zeros(row: Column) -> Column:
+            return F.aggregate(row, F.lit(0), lambda n, v: n + WORD_BITS - F.bit_count(v))
 
+        return F.aggregate(codes, F.array_repeat(F.lit(WORD_FULL), mask_words(a)), step, zeros)
 
-def lcs_length(a: Column, b: Column, a_masks: Column | None = None, b_codes: Column | None = None) -> Column:
-    """Longest common subsequence of two canonical names."""
-    masks = letter_masks(a) if a_masks is None else a_masks
-    codes = letter_codes(b) if b_codes is None else b_codes
-    return F.when(
-        F.length(a) <= MASK_LETTERS, F.when(F.length(b) > 0, _lcs_masked(masks, F.length(a), codes)).otherwise(0)
-    ).otherwise(_lcs_long(a, b))
+    return bind(masks, fold)
 
 
 def ratio_of(lcs: Column, a: Column, b: Column) -> Column:

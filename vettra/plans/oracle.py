@@ -57,6 +57,14 @@ def lcs(mask: str, length: str, b: str) -> str:
     )
 
 
+def lcs_plain(a: str, b: str) -> str:
+    """The textbook programme, row by row: no bit tricks, so that it can vouch for them."""
+    hits = f"list_transform(string_split({b}, ''), lambda c: list_transform(string_split({a}, ''), lambda x: (x = c)::INTEGER))"
+    cell = "greatest(row[i], coalesce(row[i - 1], 0) + hit[i])"
+    row = f"list_transform(range(1, len(hit) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: {cell})))"
+    return f"list_reduce({hits}, lambda row, hit: {row}, list_transform(string_split({a}, ''), lambda x: 0))[-1]"
+
+
 def _country(text: str) -> str:
     return (
         f"CASE WHEN length(trim({text})) = 2 AND upper(trim({text})) IN ({CODES}) THEN upper(trim({text})) ELSE "

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vettra.functions import fields, names, similarity, translit
-from vettra.operators import blocking, decide, dedup, ingest, lists, normalize, reconcile, screen
+from vettra.operators import blocking, decide, dedup, ingest, lists, normalize, reconcile, screen, simjoin
 from vettra.plans import fixtures as fx
-from vettra.plans.oracle import CODES, LIST_TYPE, PROVIDER, _sid, lcs, masks, with_ctes
+from vettra.plans.oracle import CODES, LIST_TYPE, PROVIDER, _sid, lcs, lcs_plain, masks, with_ctes
 from vettra.plans.pipeline import Run, run_for
+from vettra.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -333,19 +334,28 @@ def _with_own_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SWAPPED = "array_to_string(list_sort(string_split(p.name, ' ')), ' ')"
 _OWN = with_ctes(
     "SELECT p.k, p.name, p.dob, n.entry_id, n.pos, n.raw, e.dob AS edob, {plain} AS lcs1, {swapped} AS lcs2, "
     "n.len + length(p.name) AS total FROM person p JOIN entry e ON p.k // 15 = e.j JOIN ename n ON n.entry_id = e.entry_id",
     "person", "entry", "ename",
 ).format(
     plain=lcs("n.m1", "n.len", "p.name"),
-    swapped=lcs("n.m2", "n.len", "array_to_string(list_sort(string_split(p.name, ' ')), ' ')"),
+    swapped=lcs("n.m2", "n.len", _SWAPPED),
+)
+
+
+_PLAIN = with_ctes(
+    f"SELECT p.k, {lcs_plain('lower(n.raw)', 'p.name')} AS lcs1, {lcs_plain('n.sname', _SWAPPED)} AS lcs2, "
+    "n.len + length(p.name) AS total FROM person p JOIN entry e ON p.k // 15 = e.j "
+    "JOIN ename n ON n.entry_id = e.entry_id AND n.pos = 0",
+    "person", "entry", "ename",
 )
 
 
 @query(
-    f"SELECT k, lcs1::INTEGER AS lcs, round_even(2.0::DOUBLE * lcs1 / total, 6)::DOUBLE AS ratio, "
-    f"round_even(2.0::DOUBLE * greatest(lcs1, lcs2) / total, 6)::DOUBLE AS similarity FROM ({_OWN}) WHERE pos = 0"
+    "SELECT k, lcs1::INTEGER AS lcs, round_even(2.0::DOUBLE * lcs1 / total, 6)::DOUBLE AS ratio, "
+    f"round_even(2.0::DOUBLE * greatest(lcs1, lcs2) / total, 6)::DOUBLE AS similarity FROM ({_PLAIN})"
 )
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("canonical_name"), names.canonical_name(F.col("entity_name"))
@@ -357,6 +367,16 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def matches_long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of up to 1,000 letters, every passage of every document: clients spell them with each ninth letter left out."""
+    clients, entries = fx.long_names(spark, sf_dir)
+    clients, names_ = stored(clients, "long-clients"), stored(lists.entry_names(entries), "long-names")
+    return simjoin.all_matches(clients, names_).select(
+        "doc_id", "passage", "entry_id", F.length("canonical_name").alias("letters"), "score", "dob_match"
+    )
+
+
 _PAIR_SCORE = (
     "round_even(CASE WHEN edob IS NULL THEN base WHEN dob = edob THEN least(1.0::DOUBLE, base + 0.03::DOUBLE) "
     "ELSE least(base, 0.75::DOUBLE) END, 4)::DOUBLE"
