@@ -251,10 +251,10 @@ def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(clients, entries) named by the passages of the documents: whole texts, cut every 1,000 characters.
 
-    Four passages in a row share a birth date, so that each client also meets names that are not its own.
+    Two passages in a row share a birth date, so that each client also meets a name that is not its own.
     """
     cut = F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,1000}"), F.lit(0))).alias("passage", "written")
-    day = F.pmod(F.xxhash64("doc_id", F.floor(F.col("passage") / 4)), F.lit(40_000)).cast("int")
+    day = F.pmod(F.xxhash64("doc_id", F.floor(F.col("passage") / 2)), F.lit(40_000)).cast("int")
     passages = table(spark, sf_dir, "documents").select("doc_id", cut).withColumn("dob_iso", F.date_add(F.lit("1900-01-01"), day))
     entries = passages.select(
         F.format_string("wl_%d_%d", "doc_id", "passage").alias("entry_id"),
