@@ -213,6 +213,50 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.score_summary(run_for(spark, sf_dir).screening)
 
 
+_SKETCH_ERROR = 0.02  # a KLL sketch of the default size misses a rank by at most 1.7 % with a chance of 99 %
+
+
+def _checked_quantiles(rows: DataFrame, sketches: DataFrame, key: str, value: str) -> DataFrame:
+    """Quantiles of merged sketches, and whether the exact ranks of the values found are close to those asked for."""
+    found = metrics.quantiles(metrics.merged_sketches(sketches, key), 0.1, 0.5, 0.9, 0.99)
+    told = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x")).groupBy(key, "x").agg(
+        F.count(F.lit(1)).alias("c")
+    )
+    ranked = told.join(found, key).groupBy(key, "n", "rank", "value").agg(
+        F.sum(F.when(F.col("x") < F.col("value"), F.col("c")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("x") <= F.col("value"), F.col("c")).otherwise(0)).alias("up_to"),
+    )
+    near = (F.col("below") <= (F.col("rank") + _SKETCH_ERROR) * F.col("n")) & (
+        F.col("up_to") >= (F.col("rank") - _SKETCH_ERROR) * F.col("n")
+    )
+    return ranked.select(key, F.col("n").cast("bigint").alias("n"), "rank", near.alias("near"))
+
+
+_RANKS = "(SELECT unnest([0.1, 0.5, 0.9, 0.99])::DOUBLE AS rank)"
+
+
+@query(
+    with_ctes(
+        f"SELECT list_type, n, rank, true AS near FROM (SELECT list_type, count(*)::BIGINT AS n FROM match GROUP BY 1), {_RANKS}",
+        "match",
+    )
+)
+def score_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match scores: a sketch per list and batch of clients, merged per list."""
+    rows = run_for(spark, sf_dir).match.withColumn("batch", _k("client_id") % 7)
+    return _checked_quantiles(rows, metrics.quantile_sketches(rows, "score", "list_type", "batch"), "list_type", "score")
+
+
+@query(
+    f"SELECT event_type, n, rank, true AS near FROM (SELECT event_type, count(value)::BIGINT AS n FROM events GROUP BY 1 "
+    f"HAVING count(value) > 0), {_RANKS}"
+)
+def event_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of events: a sketch per type and hour, merged per type."""
+    rows = fx.table(spark, sf_dir, "events")
+    return _checked_quantiles(rows, metrics.quantile_sketches(rows, "value", "event_type", ts="ts"), "event_type", "value")
+
+
 _THROUGHPUT = (
     "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS topic, count(*)::BIGINT AS rows "
     "FROM events GROUP BY 1, 2"
