@@ -128,6 +128,7 @@ def test_streams_end_to_end(spark, folder):
     assert [e.count() for e in sent_on] == [150, 150]
     assert work.table("dead_letter_screen", schemas.DEAD_LETTER).count() == work.table("dead_letter_decide", schemas.DEAD_LETTER).count() == 0
     log = work.table("stage_log_decide", schemas.STAGE_LOG)
+    assert log.where("duration_ms is null or duration_ms <= 0").count() == 0
     assert log.count() == 150 and log.where("status <> 'ok'").count() == 0
 
     # A replayed micro-batch writes the same rows again in place.
