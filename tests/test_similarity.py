@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reference_model import lcs, letters, score
 from vettra.functions import names, similarity
-from vettra.operators import evaluation
+from vettra.operators import evaluation, lists, simjoin
 from vettra.plans import fixtures, queries
 
 # (profile, candidate, date relation, score) with the label score >= 0.82
@@ -96,3 +96,23 @@ def test_long_names_of_documents_match_like_a_plain_programme(spark, tmp_path):
     rows = queries.QUERIES["matches_long_names"](spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.passage, r.entry_id): r.score for r in rows} == want and len(rows) == len(want)
     assert max(r.letters for r in rows) > 800
+
+
+def test_a_pair_of_names_is_scored_once_and_over_all_tasks(spark):
+    rows = spark.range(400).selectExpr("id", "concat('Ivan ', id % 2) AS a", "'ivan 1' AS b").coalesce(1)
+    got = simjoin.with_similarity(rows, "a", "b")
+    assert sorted({(r.a, r.b, r.base) for r in got.collect()}) == [("Ivan 0", "ivan 1", 10 / 12), ("Ivan 1", "ivan 1", 1.0)]
+    assert got.count() == 400
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("AS base") < plan.index("RepartitionByExpression") < plan.index("Aggregate [")
+
+
+def test_list_names_carry_no_masks_and_are_never_broadcast_by_key(spark):
+    one = "array(struct(1 AS x)) AS risk"
+    entries = spark.range(50).selectExpr("concat('e', id) AS entry_id", "concat('ivan ', id) AS entity_name", "array('petrov') AS aliases", "'1980-01-01' AS dob_iso", one)
+    listed = lists.entry_names(entries)
+    assert not [f.name for f in listed.schema if "mask" in f.name]
+    people = spark.range(50).selectExpr("concat('ivan ', id) AS canonical_name", "date'1980-01-01' AS scope")
+    met = simjoin._met(people, listed.select("entry_cname", F.col("entry_dob").alias("scope")), True)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
