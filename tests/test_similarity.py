@@ -116,3 +116,25 @@ def test_list_names_carry_no_masks_and_are_never_broadcast_by_key(spark):
     met = simjoin._met(people, listed.select("entry_cname", F.col("entry_dob").alias("scope")), True)
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_keys_and_scores_are_worked_out_once_a_name_and_over_all_tasks(spark):
+    """Not in a filter that Spark moves below ``distinct``, and not in the one task that few distinct rows end up in."""
+    names_ = spark.range(400).selectExpr("concat('ivan ', id % 40) AS canonical_name", "date_add(date'1980-01-01', CAST(id AS int)) AS scope")
+    tasks = simjoin.spread(names_.select("canonical_name").distinct(), "canonical_name").select(F.spark_partition_id().alias("x"))
+    assert tasks.distinct().count() > 1
+    listed = names_.withColumnRenamed("canonical_name", "entry_cname")
+    met = simjoin._met(names_, listed, True)
+    assert "lambda" not in met._jdf.queryExecution().optimizedPlan().toString()
+    done = simjoin.scored(met, F.lit(True))
+    assert "lambda" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.canonical_name, r.entry_cname) for r in done.where("scope = '1980-01-01'").collect()} == {("ivan 0", "ivan 0")}
+
+
+def test_matches_never_broadcast_list_entries(spark, tmp_path):
+    for name, key in (("customer", "id AS c_custkey, id % 25 AS c_nationkey"), ("supplier", "id AS s_suppkey")):
+        spark.range(60).selectExpr(*key.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = queries.QUERIES["matches"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [x for x in plan if "Join" in x and x.count("entry_id#") == 2]
+    assert len(joins) >= 2 and all("rightHint=(strategy=merge)" in x for x in joins), joins
