@@ -478,3 +478,26 @@ def test_salvage(zipped):
         assert gaps or k in read or at == ends[k]
     assert list(warc.salvage(io.BytesIO(b""))) == []
     assert [x[:2] for x in warc.salvage(io.BytesIO(b"junk" * 1000))] == [(0, 4000)]
+
+
+def test_texts_that_share_a_passage_part_by_longer_keys(spark, monkeypatch):
+    """Large buckets of texts that are far from each other: what is dealt stays small, and near copies are found."""
+    monkeypatch.setattr(hamming_dedup, "BLOCK", 16)
+    monkeypatch.setattr(hamming_dedup, "PIVOTS", 2)
+    rng, rows, dealt = random.Random(5), [], []
+    passage = " ".join(f"p{i}" for i in range(60))
+    for i in range(200):
+        own = [f"o{rng.random()}" for _ in range(40)]
+        rows.append((2 * i, " ".join([passage, *own])))
+        if i % 20 == 0:
+            rows.append((2 * i + 1, " ".join([passage, *own[:-2], "x"])))
+    real = hamming_dedup.by_group
+
+    def counted(rows, *rest):
+        dealt.append(rows.count())
+        return real(rows, *rest)
+
+    monkeypatch.setattr(hamming_dedup, "by_group", counted)
+    found = hamming_dedup.linked(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in found.where("NOT kept").collect()) == list(range(1, 400, 40))
+    assert sum(dealt) < 30 * len(rows)
