@@ -501,3 +501,29 @@ def test_texts_that_share_a_passage_part_by_longer_keys(spark, monkeypatch):
     found = hamming_dedup.linked(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r.doc_id for r in found.where("NOT kept").collect()) == list(range(1, 400, 40))
     assert sum(dealt) < 30 * len(rows)
+
+
+@pytest.mark.parametrize("held", [200_000, 3])
+def test_components_take_few_rounds(spark, held, monkeypatch):
+    """Chains, a large star and small groups, dealt at random: right components, and no round for each step of a chain."""
+    monkeypatch.setattr(hamming_dedup, "HELD", held)
+    rng, links = random.Random(7), [(i, i) for i in (5000, 5001)]
+    links += [(i, i + 1) for i in range(0, 400)] + [(1000, i) for i in range(1001, 1400)]
+    links += [(2000 + rng.randrange(600), 2000 + rng.randrange(600)) for _ in range(300)]
+    links = [rng.choice([(a, b), (b, a)]) for a, b in links] * 2
+    rng.shuffle(links)
+    group = {x: x for pair in links for x in pair}
+    for _ in range(len(group)):
+        before = dict(group)
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+        if before == group:
+            break
+    linked = {x for a, b in links for x in (a, b) if a != b}
+    rounds, real = [], hamming_dedup.stored
+    monkeypatch.setattr(hamming_dedup, "stored", lambda df, name: rounds.append(name) or real(df, name))
+    df = spark.createDataFrame(links, "a bigint, b bigint").repartition(6)
+    found = hamming_dedup.components(df).collect()
+    assert sorted(found) == sorted((x, group[x]) for x in linked)
+    assert len(rounds) <= (6 if held > 3 else 12), rounds
+    assert hamming_dedup.components(df.limit(0)).count() == 0

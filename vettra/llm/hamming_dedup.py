@@ -18,7 +18,7 @@ Steps 2 and 3 deal a large group in blocks of ``BLOCK`` members, and each block
 are united within their block, and blocks through the pivots, with rows in proportion to the group. What is then not in
 the group's largest part meets every block: exact, and few rows unless many members are close to none.
 
-Links give components by alternating large-star and small-star steps.
+Links give components by alternating large-star and small-star steps; tasks contract their links between them.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from vettra.llm.common import Memo, arrow_map, columns, stored, texts
 
 VALUES, CHUNKS, SKETCH, BLOCK, PIVOTS = 32, 8, 256, 256, 8
+HELD = 200_000  # ids whose links a task contracts at once
+PACKED = 16  # shuffle partitions of links in a task
 LONG = 6  # sketch values in a longer key: a pair at 0.85 shares none of the 42 with a chance of 2.4e-9, at 0.8 of 3e-6
 WIDTH = VALUES // CHUNKS
 U = np.uint64
@@ -116,24 +118,59 @@ def keys(signature: str = "signature") -> Column:
     return F.array(*out)
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (u, v) that connect what ``links`` (a, b) connect: those of each task become stars around its smallest ids.
+
+    A link is two numbers, so a task takes several shuffle partitions, ``PACKED`` at most unless there are cores for
+    fewer. It holds ``HELD`` ids at most; then it hands on their stars and begins anew.
+    """
+    spark = links.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (above := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[above]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            found = [(x, m) for x in list(parent) if (m := root(x)) != x]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+            if len(parent) > HELD:
+                yield stars()
+        yield stars()
+
+    return links.select("a", "b").coalesce(tasks).mapInArrow(run, "u bigint, v bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in ``links`` (a, b): the smallest id that links lead to."""
-    links = links.where("a <> b")
-    stars = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    """(id, component) of every id in ``links`` (a, b): the smallest id that links lead to.
+
+    A round deals the links twice: each end moves on to that end's smallest neighbour (large star), then what an id is
+    linked with joins the smallest of them (small star). Tasks contract what they hold, so few rounds are needed.
+    """
+    stars = stored(contracted(links.where("a <> b")), "stars")
     mark = None
     while True:
-        both = stars.union(stars.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = stored(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
                 stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             )
         mark = now
+        least = stars.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = stars.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        small = large.withColumn("low", F.min("v").over(Window.partitionBy("u")))
+        own = F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v"))
+        stars = stored(contracted(small.select(own.alias("a"), F.col("low").alias("b"))), "stars")
 
 
 def numbered(rows: DataFrame, blocks: str, name: str) -> DataFrame:
@@ -170,6 +207,8 @@ def closure(rows: DataFrame, told: DataFrame, near: Callable[[pa.Table], list[tu
     parts = parts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("of_most"))
     parts = parts.where("of_most < n").select("group", "most", F.ceil((F.col("n") - F.col("of_most")) / BLOCK).cast("int").alias("others"))
     open_ = stored(large.join(parts, "group"), "open-groups")
+    if open_.isEmpty():
+        return links
     every = repeated(open_, "others", "part").withColumn("side", F.lit(0))
     rest = repeated(numbered(open_.where("label <> most").drop("block"), "others", "part"), "blocks", "block").withColumn("side", F.lit(1))
     names = ["group", "block", "part", "id", "label", "side"]
@@ -357,7 +396,7 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     more = closure(buckets, sketches, lambda g: merging(g, limit, percent, exact=False))
     near = components(stored(stars.union(more), "close-pairs"))
 
-    groups = near.select(F.col("component").alias("group"), "id", F.col("id").alias("label"))
+    groups = stored(near.select(F.col("component").alias("group"), "id", F.col("id").alias("label")), "near-groups")
     links = closure(groups, told, lambda g: merging(g, limit, percent, exact=True))
     found = components(stored(links.union(same_document(full, classes)), "links"))
 
