@@ -19,6 +19,9 @@ are united within their block, and blocks through the pivots, with rows in propo
 the group's largest part meets every block: exact, and few rows unless many members are close to none.
 
 Links give components by alternating large-star and small-star steps; tasks contract their links between them.
+
+All tables here grow with the documents, so every join is a merge join by hint. Spark's estimate takes an exploded row for
+one and a file for its rows in memory, and would broadcast tables too large for the driver where the input is small.
 """
 
 from __future__ import annotations
@@ -167,7 +170,7 @@ def components(links: DataFrame) -> DataFrame:
             )
         mark = now
         least = stars.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
-        large = stars.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = stars.join(least.hint("merge"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         small = large.withColumn("low", F.min("v").over(Window.partitionBy("u")))
         own = F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v"))
         stars = stored(contracted(small.select(own.alias("a"), F.col("low").alias("b"))), "stars")
@@ -191,22 +194,23 @@ def closure(rows: DataFrame, told: DataFrame, near: Callable[[pa.Table], list[tu
     side 1 and one of side 0.
     """
     count = (F.ceil(F.count("*") / BLOCK)).cast("int")
-    dealt = numbered(rows.join(rows.groupBy("group").agg(count.alias("blocks")), "group"), "blocks", "block")
+    dealt = numbered(rows.join(rows.groupBy("group").agg(count.alias("blocks")).hint("merge"), "group"), "blocks", "block")
     large = dealt.where("blocks > 1")
     few = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64(F.lit(1), "id"), "id"))
     pivots = large.withColumn("place", few).where(F.col("place") <= PIVOTS).withColumnRenamed("block", "own")
     pivots = repeated(pivots, "blocks", "block").where("block <> own").select("group", "id", "label", "block")
+    told = told.hint("merge")
     first = dealt.select("group", "id", "label", "block").unionByName(pivots).join(told, "id")
     links = stored(by_group(first, ["group", "block"], LINK, near), "closing-links")
     large = stored(large, "large-groups")
     if large.isEmpty():
         return links
     joined = components(links.union(large.select("id", "label")))
-    large = large.drop("label").join(joined, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    large = large.drop("label").join(joined.hint("merge"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     parts = large.groupBy("group", "label").agg(F.count("*").alias("n"))
     parts = parts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("of_most"))
     parts = parts.where("of_most < n").select("group", "most", F.ceil((F.col("n") - F.col("of_most")) / BLOCK).cast("int").alias("others"))
-    open_ = stored(large.join(parts, "group"), "open-groups")
+    open_ = stored(large.join(parts.hint("merge"), "group"), "open-groups")
     if open_.isEmpty():
         return links
     every = repeated(open_, "others", "part").withColumn("side", F.lit(0))
@@ -221,12 +225,12 @@ def parted(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
 
     Each member goes to its own keys once, however many large buckets it is in, and keys with one label are dropped.
     """
-    sized = stored(buckets.join(buckets.groupBy("group").agg(F.count("*").alias("n")), "group"), "sized-buckets")
+    sized = stored(buckets.join(buckets.groupBy("group").agg(F.count("*").alias("n")).hint("merge"), "group"), "sized-buckets")
     keys = [F.xxhash64(F.lit(at), F.substring("sketch", at + 1, LONG)) for at in range(0, SKETCH - LONG + 1, LONG)]
-    large = sized.where(F.col("n") > BLOCK).select("id", "label").distinct().join(sketches.select("id", "sketch"), "id")
+    large = sized.where(F.col("n") > BLOCK).select("id", "label").distinct().join(sketches.select("id", "sketch").hint("merge"), "id")
     large = stored(large.select(F.explode(F.array(*keys)).alias("group"), "id", "label"), "long-keys")
     several = large.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return sized.where(F.col("n") <= BLOCK).drop("n").unionByName(large.join(several.select("group"), "group"))
+    return sized.where(F.col("n") <= BLOCK).drop("n").unionByName(large.join(several.select("group").hint("merge"), "group"))
 
 
 def by_group(rows: DataFrame, names: list[str], schema: str, pairs: Callable) -> DataFrame:
@@ -328,7 +332,7 @@ def merging(group: pa.Table, limit: int, percent: int, exact: bool) -> list[tupl
 def described(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(id, n_shingles, sketch, shingles) of the wanted classes, from the texts of their documents; ``wanted`` has id,
     doc and set_hash."""
-    rows = columns(docs, doc_id="bigint", text="string").join(wanted, F.col("doc_id") == F.col("doc"))
+    rows = columns(docs, doc_id="bigint", text="string").join(wanted.hint("merge"), F.col("doc_id") == F.col("doc"))
 
     def run(batch):
         import xxhash
@@ -351,9 +355,10 @@ def described(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def same_document(full: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between the classes of each ``doc_id`` that stands for several texts."""
     several = full.groupBy("doc_id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).where("low <> high")
-    rows = full.join(several.select("doc_id"), "doc_id").select("doc_id", "set_hash").distinct().join(classes, "set_hash")
+    rows = full.join(several.select("doc_id").hint("merge"), "doc_id").select("doc_id", "set_hash").distinct()
+    rows = rows.join(classes.hint("merge"), "set_hash")
     least = rows.groupBy("doc_id").agg(F.min("id").alias("b"))
-    return rows.join(least, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
+    return rows.join(least.hint("merge"), "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
 
 
 def linked(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
@@ -373,13 +378,14 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
 
     keyed = classes.select("id", F.explode(keys()).alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stored(keyed.join(buckets, "key"), "bucket-members")
-    wanted = members.select("id").distinct().join(classes.select("id", "doc", "set_hash"), "id")
+    members = stored(keyed.join(buckets.hint("merge"), "key"), "bucket-members")
+    wanted = members.select("id").distinct().join(classes.select("id", "doc", "set_hash").hint("merge"), "id")
     told = stored(described(docs, wanted, size), "described")
     sketches = told.select("id", "n_shingles", "sketch")
 
     pairs = members.where("id <> center").select("id", "center").distinct()
-    pairs = pairs.join(sketches, "id").join(sketches.select(*[F.col(c).alias(f"{c}_2") for c in sketches.columns]), F.col("center") == F.col("id_2"))
+    others = sketches.select(*[F.col(c).alias(f"{c}_2") for c in sketches.columns]).hint("merge")
+    pairs = pairs.join(sketches.hint("merge"), "id").join(others, F.col("center") == F.col("id_2"))
 
     def close(batch):
         a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(c)), "u1").reshape(-1, SKETCH) for c in ("sketch", "sketch_2"))
@@ -389,10 +395,10 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
 
     stars = stored(arrow_map(pairs, LINK, close), "close-pairs")
     labels = components(stars)
-    labelled = members.join(labels, "id", "left").select(F.col("key").alias("group"), "id", F.coalesce("component", "id").alias("label"))
+    labelled = members.join(labels.hint("merge"), "id", "left").select(F.col("key").alias("group"), "id", F.coalesce("component", "id").alias("label"))
     labelled = stored(labelled, "bucket-labels")
     open_ = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    buckets = stored(parted(labelled.join(open_.select("group"), "group"), sketches), "open-buckets")
+    buckets = stored(parted(labelled.join(open_.select("group").hint("merge"), "group"), sketches), "open-buckets")
     more = closure(buckets, sketches, lambda g: merging(g, limit, percent, exact=False))
     near = components(stored(stars.union(more), "close-pairs"))
 
@@ -400,10 +406,11 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     links = closure(groups, told, lambda g: merging(g, limit, percent, exact=True))
     found = components(stored(links.union(same_document(full, classes)), "links"))
 
-    of_class = classes.join(found, "id", "left").select("set_hash", "doc", F.coalesce("component", "id").alias("component"))
+    of_class = classes.join(found.hint("merge"), "id", "left").select("set_hash", "doc", F.coalesce("component", "id").alias("component"))
     of_class = stored(of_class, "class-components")
     smallest = of_class.groupBy("component").agg(F.min("doc").alias("component_id"))
-    out = rows.join(of_class.join(smallest, "component").select("set_hash", "component_id"), "set_hash", "left")
+    told = of_class.join(smallest.hint("merge"), "component").select("set_hash", "component_id").hint("merge")
+    out = rows.join(told, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
