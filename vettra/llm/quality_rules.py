@@ -108,7 +108,8 @@ def removable(held: DataFrame, key: str, max_docs: int, max_share: float, copies
     common = common_lines(held, max_docs, max_share, copies_once).select(
         F.col("host").alias("of"), F.col("line").alias("common"), "first_doc"
     )
-    hit = lines.join(common, (F.col("line") == F.col("common")) & F.col("host").eqNullSafe(F.col("of")))
+    # A row of few bytes becomes many lines, and common lines grow with the hosts: never a broadcast of either.
+    hit = lines.join(common.hint("merge"), (F.col("line") == F.col("common")) & F.col("host").eqNullSafe(F.col("of")))
     return hit.where(~F.col("doc").eqNullSafe(F.col("first_doc"))) if first_stays else hit
 
 
@@ -131,7 +132,7 @@ def judge(
     held = stored(measured(docs).withColumn("row", F.monotonically_increasing_id()), "quality-lines")
     hit = removable(held, "row", max_docs, max_share, copies_once, first_stays)
     removed = hit.groupBy("row").agg(F.sum("words").alias("n_removed"), F.count("*").alias("n_common_lines"))
-    rows = held.drop("lines", "text_hash", "host").join(removed, "row", "left")
+    rows = held.drop("lines", "text_hash", "host").join(removed.hint("merge"), "row", "left")
     left = F.col("n_words") - F.col("n_removed")
     return rows.fillna(0, ["n_removed", "n_common_lines"]).withColumn(
         "kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words"))
@@ -157,8 +158,8 @@ def cleaned(
     hit = removable(held, "doc_id", max_docs, max_share, copies_once, first_stays)
     removed = hit.groupBy("doc_id").agg(F.sum("words").alias("n_removed"), F.collect_set("line").alias("gone"))
     left = F.col("n_words") - F.coalesce("n_removed", F.lit(0))
-    kept = held.drop("lines").join(removed, "doc_id", "left").where(~F.col("base_failed") & (left >= min_left * F.col("n_words")))
-    out = rows.join(kept.select(F.col("doc_id").alias("row"), "gone"), "row")
+    kept = held.drop("lines").join(removed.hint("merge"), "doc_id", "left").where(~F.col("base_failed") & (left >= min_left * F.col("n_words")))
+    out = rows.join(kept.select(F.col("doc_id").alias("row"), "gone").hint("merge"), "row")
     doc = F.col("doc").withField("text", _without()(F.col("doc.text"), F.col("gone")))
     if "n_chars" in docs.columns:
         counted = F.length(doc.getField("text")).cast(docs.schema["n_chars"].dataType)
