@@ -138,3 +138,23 @@ def test_matches_never_broadcast_list_entries(spark, tmp_path):
     plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joins = [x for x in plan if "Join" in x and x.count("entry_id#") == 2]
     assert len(joins) >= 2 and all("rightHint=(strategy=merge)" in x for x in joins), joins
+
+
+def test_pairs_of_long_names_score_like_the_expression_and_meet_by_number(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcde'z") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    names_ = [text(n) for n in (1, 8, 11, 12, 13, 14, 40, 90) for _ in range(6)]
+    near = [(a, "".join(c for i, c in enumerate(a) if i % k)) for a in names_ for k in (4, 9)] + [(a, rng.choice(names_)) for a in names_]
+    pairs = spark.createDataFrame(near, "canonical_name string, entry_cname string")
+    assert {len(a) > similarity.WORD_BITS for a, _ in near} == {True, False}
+    want = F.when(F.col("plain") * 10_000 >= simjoin.SAME_BASE, F.col("plain"))
+    got = similarity.long_similarity(pairs, simjoin.SAME_BASE)
+    got = got.withColumn("plain", similarity.name_similarity(F.col("entry_cname"), F.col("canonical_name"))).withColumn("want", want)
+    assert got.where("base IS NOT NULL").count() > 20
+    assert got.where("NOT (base <=> want) AND abs(plain * 10000 - 7899) > 1").count() == 0
+
+    listed = spark.createDataFrame([(b, "x") for _, b in near], "entry_cname string, scope string")
+    people = spark.createDataFrame([(a, "x") for a, _ in near], "canonical_name string, scope string")
+    met, numbers, _ = simjoin._met_numbers(people, listed, True)
+    assert met.columns == ["person", "scope", "listed"]  # no name travels with its keys
+    assert numbers.where("(person < 0) <> (length(canonical_name) > 62)").count() == 0
