@@ -6,8 +6,9 @@ import re
 
 import pytest
 
-from vettra.operators import decide
-from vettra.plans import queries, queries_quality  # noqa: F401 - registers its queries
+from vettra.operators import decide, simjoin
+from vettra.operators import screen as screen_module
+from vettra.plans import pipeline, queries, queries_quality
 from vettra.plans.pipeline import run_for
 
 # Audits are built from a run's stored tables, like the rest, and stored themselves.
@@ -31,3 +32,16 @@ def test_growing_tables_are_never_broadcast(spark, small, name):
     bounded = r"list_type#\d+ = list_type|provider_id#\d+ = provider_id#\d+|batch_id|task#|letters#\d+ = letters"
     open_ = [x for x in joins if "strategy=merge" not in x and not re.search(bounded, x)]
     assert joins and not open_, open_
+
+
+def test_monitors_build_only_the_tables_they_read(spark, small, monkeypatch):
+    """Evaluation reads no run table but profiles and entries, and nobody stores the match table."""
+    written, real = [], pipeline.stored
+    for module in (pipeline, screen_module, simjoin, queries_quality):
+        monkeypatch.setattr(module, "stored", lambda df, name: written.append(name) or real(df, name), raising=False)
+    monkeypatch.setattr(pipeline, "_RUNS", {})
+    queries.QUERIES["match_evaluation"](spark, small)
+    queries.QUERIES["dq_match_accuracy"](spark, small)
+    assert not {"audit", "decision", "screening", "match"} & set(written), written
+    queries.QUERIES["dq_orphan_match"](spark, small)
+    assert not {"audit", "decision", "match"} & set(written), written

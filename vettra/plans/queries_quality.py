@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,45 +28,83 @@ def _k(column: str = "client_id") -> Column:
     return F.substring_index(F.col(column), "_", -1).cast("bigint")
 
 
-def faulty_tables(run: Run) -> dict[str, DataFrame]:
+class Tables(Mapping):
+    """Tables by name, each built when it is first asked for: a monitor pays for no table that it does not read."""
+
+    def __init__(self, made: dict[str, Callable[[], DataFrame]]):
+        self.made, self.built = made, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.built:
+            self.built[name] = self.made[name]()
+        return self.built[name]
+
+    def __iter__(self):
+        return iter(self.made)
+
+    def __len__(self) -> int:
+        return len(self.made)
+
+
+def golden_pairs(run: Run, upto: int = 2) -> DataFrame:
+    """Each client beside the entry it was derived from, labelled; with 2 the hard negatives wrongly, so that recall drops."""
+    return _with_own_entry(run.spark, run.sf_dir).select(
+        F.col("canonical_name").alias("profile_name"),
+        F.col("entity_name").alias("candidate_name"),
+        F.col("dob_iso").alias("dob_profile"),
+        F.col("entry_dob").alias("dob_candidate"),
+        (F.col("k") % 15 <= upto).alias("expected_match"),
+        F.lit(0.82).alias("min_score"),
+    )
+
+
+def faulty_tables(run: Run) -> Tables:
     """The run's tables with one fault per monitor, each tied to the client number."""
+    return Tables(
+        {
+            "raw_profile": lambda: run.raw,
+            "normalized_profile": lambda: faulty_profiles(run),
+            "screening": lambda: faulty_screening(run),
+            "match": lambda: run.match,
+            "decision": lambda: faulty_decision(run),
+            "audit": lambda: tampered(numbered_audit(run)),
+            "audit_fingerprint": lambda: monitors.audit_fingerprint(numbered_audit(run)),
+            "golden_matching": lambda: golden_pairs(run),
+        }
+    )
+
+
+def faulty_profiles(run: Run) -> DataFrame:
     normalized = run.profiles.where(_k() % 97 != 5)
-    normalized = normalized.unionByName(normalized.where(_k() % 89 == 7)).withColumn(
+    return normalized.unionByName(normalized.where(_k() % 89 == 7)).withColumn(
         "profile_hash", F.when(_k() % 67 == 4, F.lit("bad")).otherwise(F.col("profile_hash"))
     )
-    screening = run.screening.where(_k() % 83 != 11).withColumn(
+
+
+def faulty_screening(run: Run) -> DataFrame:
+    return run.screening.where(_k() % 83 != 11).withColumn(
         "list_versions",
         F.when(
             _k() % 71 == 1,
             F.map_concat(F.map_filter("list_versions", lambda p, _v: p != "world_check"), F.create_map(F.lit("world_check"), F.lit("v0"))),
         ).otherwise(F.col("list_versions")),
     )
-    decision = run.decision.where(_k() % 79 != 3).withColumn(
+
+
+def faulty_decision(run: Run) -> DataFrame:
+    return run.decision.where(_k() % 79 != 3).withColumn(
         "trace_id", F.when(_k() % 73 == 2, F.concat("trace_id", F.lit("_x"))).otherwise(F.col("trace_id"))
     )
-    number = F.col("client")
-    audit = run.audit.withColumn("client", _k("trace_id")).withColumn("batch_id", number % 10)
-    tampered = audit.where("batch_id <> 4").withColumn(
-        "snapshot", F.when(number % 1000 == 9, F.lit("{}")).otherwise(F.col("snapshot"))
-    )
-    pairs = _with_own_entry(run.spark, run.sf_dir).select(
-        F.col("canonical_name").alias("profile_name"),
-        F.col("entity_name").alias("candidate_name"),
-        F.col("dob_iso").alias("dob_profile"),
-        F.col("entry_dob").alias("dob_candidate"),
-        (F.col("k") % 15 <= 2).alias("expected_match"),  # the hard negatives are labelled wrongly: recall drops
-        F.lit(0.82).alias("min_score"),
+
+
+def numbered_audit(run: Run) -> DataFrame:
+    return run.audit.withColumn("client", _k("trace_id")).withColumn("batch_id", F.col("client") % 10)
+
+
+def tampered(audit: DataFrame) -> DataFrame:
+    return audit.where("batch_id <> 4").withColumn(
+        "snapshot", F.when(F.col("client") % 1000 == 9, F.lit("{}")).otherwise(F.col("snapshot"))
     )
-    return {
-        "raw_profile": run.raw,
-        "normalized_profile": normalized,
-        "screening": screening,
-        "match": run.match,
-        "decision": decision,
-        "audit": tampered,
-        "audit_fingerprint": monitors.audit_fingerprint(audit),
-        "golden_matching": pairs,
-    }
 
 
 _P, _D = "SELECT client_id AS breach FROM person WHERE ", "SELECT decision_id AS breach FROM decision WHERE "
@@ -418,12 +457,7 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def match_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planted profiles against their own entry: exact and perturbed names should match, the others should not."""
-    pairs = faulty_tables(run_for(spark, sf_dir))["golden_matching"]
-    labelled = _with_own_entry(spark, sf_dir).select(
-        F.col("canonical_name").alias("profile_name"), F.col("entity_name").alias("candidate_name"),
-        F.col("dob_iso").alias("dob_profile"), F.col("entry_dob").alias("dob_candidate"),
-        (F.col("k") % 15 <= 1).alias("expected_match"), F.lit(0.82).alias("min_score"),
-    ).select(pairs.columns)
+    labelled = golden_pairs(run_for(spark, sf_dir), upto=1)
     return evaluation.evaluate_matches(labelled).select("tp", "fp", "fn", "tn")
 
 
