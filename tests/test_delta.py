@@ -76,3 +76,17 @@ def test_rounds_of_a_client(spark):
     versions = spark.createDataFrame([("a", {"p": "v1", "q": "v1"}), ("b", {"p": "v2", "q": "v0"}), ("c", {})], "client_id string, list_versions map<string,string>")
     got = sorted(tuple(r) for r in reconcile.affected_rounds(versions, changes, states).collect())
     assert got == [("a", 0, "v1"), ("a", 2, "v2"), ("b", 1, "v0"), ("b", 2, "v2"), ("c", 0, None), ("c", 2, "v2")]
+
+
+def test_the_last_round_leaves_the_latest_screening_and_outcome(spark):
+    """Rounds of one batch have no time of their own: a later batch must not take an earlier round for the latest."""
+    profiles, entries, _ = world(spark, 4)
+    updates = update_frame(spark, [(i, p, kind, "version_bump", None, "v2") for i, (kind, p) in enumerate(TYPES)])
+    state, rules, at = lists.default_state(), decide.rules_table(spark), F.lit("2024-01-02").cast("timestamp")
+    done = screen.screen(profiles, entries, state, None, "client_id", at)
+    decision = decide.decide(done.screening, done.match, rules, at)
+    after = reconcile.reconcile(profiles, entries, done.screening, decision, updates, state, rules, match=done.match)
+    used = reconcile.used_versions(after.screening).collect()
+    assert len(used) == 40 and all(set(r.list_versions.values()) == {"v2"} for r in used)
+    times = after.decision.groupBy("client_id").agg(F.count_distinct("decided_at").alias("n"))
+    assert times.where("n <> 3").count() == 0
